@@ -134,7 +134,7 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
 
     def sample(d: DataFrame, total: int, want: int) -> np.ndarray:
         share = min(1.0, 1.3 * want / max(total, 1))
-        got = (d if share >= 1 else d.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("v").limit(2 * want).toArrow()
+        got = (d if share >= 1 else d.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("v").toArrow()
         return _vectors(got.column(0), dim)
 
     cells = max(1, min(max_cells, n // cell_rows))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import leakage, neighbours, split, tokenize_corpus
+from cairn.llm import language, leakage, neighbours, split, tokenize_corpus
 from cairn.session import table
 
 
@@ -35,9 +35,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).filter("edits = 0").select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_errors(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.language_segments(table(spark, d, "documents")).drop("lang")
+
+
 P3_SQL = "SELECT DISTINCT id FROM chunks WHERE greatest(1, length(content) // 4) > 600"
 
-_QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+_QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_segments": p10_segments}
 _SQL = {"p3_found": P3_SQL}
 
 
