@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import language, leakage, neighbours, split, syntax, tokenize_corpus
+from cairn.llm import credentials, language, leakage, neighbours, split, syntax, tokenize_corpus
 from cairn.session import table
 
 
@@ -31,6 +31,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece = 0").select("id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.found(table(spark, d, "chunks"), table(spark, d, "env_vars"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.scan(table(spark, d, "chunks"), table(spark, d, "env_vars"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, d, "chunks"))
 
@@ -57,7 +65,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 P3_SQL = "SELECT DISTINCT id FROM chunks WHERE greatest(1, length(content) // 4) > 600"
 
-_QUERIES = {"p1_found": p1_found, "p1_repairs": p1_repairs, "p1_rates": p1_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_segments": p10_segments}
+_QUERIES = {"p1_found": p1_found, "p1_repairs": p1_repairs, "p1_rates": p1_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_segments": p10_segments}
 _SQL = {"p3_found": P3_SQL}
 
 
