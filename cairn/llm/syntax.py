@@ -156,8 +156,7 @@ class Reducer:
             c = self.classes[key] = chr(0xF0000 + len(self.classes))
             if bracket == "C":
                 self.brace_chars.add(c)
-            for k in kinds:
-                self.s.grammar.kinds.get((bracket, k), set()).add(c)
+            self.s.grammar.new_group(c, bracket, kinds)
             if cost:
                 self.costs[c] = cost
                 self.free[c] = self._class(bracket, kinds, 0)
