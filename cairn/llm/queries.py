@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import credentials, language, leakage, neighbours, split, syntax, tokenize_corpus
+from cairn.llm import credentials, language, leakage, neighbours, provenance, split, syntax, tokenize_corpus
 from cairn.session import table
 
 
@@ -22,6 +22,14 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "raw_files"), table(spark, d, "files"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "files"), table(spark, d, "raw_files"))
+
+
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.label_files(table(spark, d, "files"), table(spark, d, "raw_files"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"))
 
@@ -65,7 +73,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 P3_SQL = "SELECT DISTINCT id FROM chunks WHERE greatest(1, length(content) // 4) > 600"
 
-_QUERIES = {"p1_found": p1_found, "p1_repairs": p1_repairs, "p1_rates": p1_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_segments": p10_segments}
+_QUERIES = {"p1_found": p1_found, "p1_repairs": p1_repairs, "p1_rates": p1_rates, "p2_found": p2_found, "p2_labels": p2_labels, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_segments": p10_segments}
 _SQL = {"p3_found": P3_SQL}
 
 
