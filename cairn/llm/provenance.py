@@ -7,7 +7,8 @@ directory of generated stubs mostly generated, while an ordinary directory says
 two passes: messages go up level by level, summed per directory before they are shuffled on, and come down again. Siblings
 speak to each other through their directory. A file whose handwritten probability is below ``THRESHOLD`` is taken out.
 
-Messages are five numbers a directory, computed by JVM expressions; only reading the texts takes Python.
+Edges hold conditional probabilities, evidence only likelihood ratios, so a directory without any says nothing to either
+side. Messages are five numbers a directory, summed by the JVM and turned around in Arrow batches.
 
 Defined cases: a file without text is judged by its path alone; files that do not parse keep a label but are no case;
 null repositories or paths have no row; repeated rows of a file count once.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,7 +39,7 @@ _GEN_NAME = re.compile(r"(?i)(_pb2(_grpc)?\.pyi?|\.pb\.(go|cc|h|ts|js)|[._-]gen(
 _MIN_NAME = re.compile(r"(?i)([.-]min\.\w+|[.-]bundle\.\w+|\.prod\.js|\.chunk\.js)$")
 _COMMENT = re.compile(r"(?m)^[ \t]*(?://+!?|#+|/\*+!?|\*+|--|<!--|\"\"\"|''')[ \t]*(.*)$")
 _GEN_TEXT = re.compile(
-    r"(?i)code generated by|@generated\b|\bauto-?generated\b|\bautogenerated\b|<auto-generated|generated (?:from|by) \S+.*(?:do not|don't|nicht|on build|automatically)|machine output of|automatically (?:created|generated|produced)|do not (?:edit|modify)(?:\s*(?:!|\.|$|by hand|manually|this file|directly))|(?:erzeugt|generiert) von .*nicht|g[ée]n[ée]r[ée] (?:par|automatiquement)|generado (?:por|autom)|gerado (?:por|autom)|generato (?:da|autom)|gegenereerd door|manual changes (?:are|will be) lost"
+    r"(?i)code generated by|@generated\b|\bauto-?generated\b|\bautogenerated\b|<auto-generated|generated (?:from|by) \S+.*(?:do not|don't|nicht|on build|automatically)|machine output of|output of the \S+ (?:compiler|generator|tool)\b|automatically (?:created|generated|produced)|do not (?:edit|modify)(?:\s*(?:!|\.|$|by hand|manually|this file|directly))|(?:erzeugt|generiert) von .*nicht|g[ée]n[ée]r[ée] (?:par|automatiquement)|generado (?:por|autom)|gerado (?:por|autom)|generato (?:da|autom)|gegenereerd door|manual changes (?:are|will be) lost"
 )
 _VENDOR_TEXT = re.compile(r"(?i)\bvendored\b|copied (?:unchanged|verbatim|unmodified)? ?from the .*project|bundled copy|in sync with upstream|upstream fixes only|local edits forbidden|\bv\d+\.\d+(?:\.\d+)?\s*\|\s*\(c\)\s*\d{4}|(?:imported|forked|taken) from https?://")
 _NUMBERED = re.compile(r"(?m)^[^\n]*?[A-Za-z]_?(\d{1,5})\b")
@@ -45,22 +47,23 @@ _DATA = re.compile(r"(?:0[xX][0-9a-fA-F]+|\b\d+\b)\s*,|\"[A-Za-z0-9+/=\\x]{40,}\
 
 
 def text_evidence(path: str, text: str | None) -> list[float]:
-    """Log evidence for each label from the name and the text of a file."""
-    hand, gen, mini, vend, blob = 2.0, 0.0, 0.0, 0.0, -1.0
+    """Log likelihood ratios of the name and the text of a file; a plain text speaks against all but handwritten, least so
+    against a copy."""
+    hand, gen, mini, vend, blob = (0.0, -3.0, -6.0, -0.7, -8.0) if text else (0.0, 0.0, 0.0, 0.0, 0.0)
     name = path.rsplit("/", 1)[-1]
     if _GEN_NAME.search(name):
-        gen += 5
+        gen += 7
     if _MIN_NAME.search(name):
-        mini += 5
+        mini += 9
     if not text:
         return [hand, gen, mini, vend, blob]
     head = text[:1500]
     for k, m in enumerate(_COMMENT.finditer(text)):
         line = m[1]
         if _GEN_TEXT.search(line) and not text[: m.start()].rstrip().endswith(("=", "(", ",", "+")):
-            gen += 6
+            gen += 9
         if k < 12 and m.start() < len(head) and _VENDOR_TEXT.search(line):
-            vend += 6
+            vend += 6.7
     numbers = [int(x) for x in _NUMBERED.findall(text)]
     run = best = 0
     last = None
@@ -73,17 +76,17 @@ def text_evidence(path: str, text: str | None) -> list[float]:
         best = max(best, run)
     lines = [x for x in text.splitlines() if x.strip()]
     if best >= 8 and best >= 0.12 * len(lines):
-        gen += 5
+        gen += 9
     long = max(map(len, lines), default=0)
     body = sum(map(len, lines))
     data = sum(len(m[0]) for m in _DATA.finditer(text))
     if data > 0.6 * body and body > 400:
-        blob += 8
+        blob += 15
     elif body > 200:
         space = text.count(" ") + text.count("\n")
         dense = sum(len(x) for x in lines if len(x) > 250 and x.count(" ") < 0.12 * len(x) and sum(x.count(c) for c in ";{}(),=") > 0.08 * len(x))
         if dense > 0.5 * body or (long > 1000 and space < 0.1 * len(text) and dense):
-            mini += 6
+            mini += 13
     return [hand, gen, mini, vend, blob]
 
 
@@ -100,50 +103,60 @@ def _work(b: pa.RecordBatch) -> pa.RecordBatch:
 
 _U = [f"u{k}" for k in range(5)]
 _A = [f"a{k}" for k in range(5)]
-#: Log compatibilities [directory label][child label]: for files, and for sub-directories.
-_FILE = [[0.0, -2.0, -2.0, -3.5, -1.5], [-3.0, 2.0, -2.0, -3.0, -1.0], [-1.0, -1.5, 1.0, -2.0, -1.0], [-4.0, -1.0, -1.0, 2.5, -1.0], [-1.0, -1.0, -1.0, -1.0, 1.0]]
-_DIR = [[1.0, -1.0, -1.0, -1.5, -2.0], [-0.5, 1.0, -1.0, -2.0, -2.0], [-0.5, -1.0, 1.0, -1.0, -2.0], [-3.0, -2.0, -2.0, 2.0, -3.0], [-0.5, -1.0, -1.0, -1.0, 0.5]]
+#: P(label of a file | label of its directory) and P(label of a sub-directory | label of its directory).
+_FILE = np.log([[0.90, 0.03, 0.02, 0.04, 0.01], [0.10, 0.87, 0.01, 0.01, 0.01], [0.50, 0.04, 0.44, 0.01, 0.01], [0.0004, 0.0002, 0.0002, 0.999, 0.0002], [0.30, 0.05, 0.03, 0.02, 0.60]])
+_DIR = np.log([[0.992, 0.002, 0.004, 0.001, 0.001], [0.18, 0.80, 0.01, 0.005, 0.005], [0.25, 0.01, 0.73, 0.005, 0.005], [0.0005, 0.0005, 0.0005, 0.998, 0.0005], [0.40, 0.02, 0.02, 0.01, 0.55]])
+_ROOT = np.log([0.96, 0.01, 0.01, 0.01, 0.01])
+_NAMES = [(set(VENDOR_DIRS), [0.0, 0.0, 0.0, 11.0, 0.0]), (set(GENERATED_DIRS), [0.0, 7.0, 0.0, 0.0, 0.0]), (set(MINIFIED_DIRS), [0.0, 0.0, 3.0, 0.0, 0.0])]
 
 
-def _message(cols: list[Column], compat: list[list[float]], up: bool) -> list[Column]:
-    """Log sum over the sender's label; ``up``: child to directory, else directory to child. Shifted by the maximum."""
-    out = []
-    for k in range(5):
-        terms = [cols[j] + F.lit(compat[k][j] if up else compat[j][k]) for j in range(5)]
-        top = F.greatest(*terms)
-        out.append(top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0))))
-    first = out[0]
-    return [x - first for x in out]
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def _dir_evidence(name: Column) -> list[Column]:
-    low = F.lower(name)
-    vend = low.isin(VENDOR_DIRS)
-    gen = low.isin(GENERATED_DIRS)
-    mini = low.isin(MINIFIED_DIRS)
-    version = low.rlike(_VERSIONED)
-    zero = F.lit(0.0)
-    return [F.lit(2.0), F.when(gen, 4.5).otherwise(zero), F.when(mini, 2.0).otherwise(F.lit(-1.0)), F.when(vend, 9.0).when(version, 3.0).otherwise(zero), F.lit(-3.0)]
+def message_up(x: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """From children with log evidence ``x`` (n, 5) to their directories, up to a constant."""
+    m = _lse(x[:, None, :] + given[None], 2)
+    return m - m[:, :1]
+
+
+def message_down(x: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """From directories with log belief ``x`` (n, 5), the receiver's own message taken out, to their children."""
+    m = _lse(x[:, :, None] + given[None], 1)
+    return m - m[:, :1]
+
+
+def dir_evidence(path: str) -> np.ndarray:
+    name = path.rsplit("/", 1)[-1].lower()
+    out = np.zeros(5)
+    for names, e in _NAMES:
+        if name in names:
+            out += e
+    if re.match(_VERSIONED, name):
+        out[3] += 4
+    return out
+
+
+def _columns(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([np.asarray(b.column(n), dtype=float) for n in names], axis=1) if b.num_rows else np.zeros((0, len(names)))
+
+
+def _batch(b: pa.RecordBatch, keep: list[str], new: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(v) for v in new.values())], [*keep, *new])
 
 
 def file_evidence(files: DataFrame, raw_files: DataFrame) -> DataFrame:
     """One row per source file of ``files``: parses, u0..u4."""
     known = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(SOURCE))
     raw = raw_files.select("repo_id", "path", "content").filter(known)
-    got = map_batches(raw, _work, "repo_id string, path string, parses boolean, " + ", ".join(f"{u} double" for u in _U))
-    got = got.dropDuplicates(["repo_id", "path"])
+    got = map_batches(raw, _work, "repo_id string, path string, parses boolean, " + ", ".join(f"{u} double" for u in _U)).dropDuplicates(["repo_id", "path"])
     f = files.select("repo_id", "path").dropna().filter(known).distinct()
     d = f.join(got, ["repo_id", "path"], "left")
-    bare = _name_evidence(F.col("path"))
+    bare = [F.lit(0.0), F.when(F.col("path").rlike(_GEN_NAME.pattern), 7.0).otherwise(0.0), F.when(F.col("path").rlike(_MIN_NAME.pattern), 9.0).otherwise(0.0), F.lit(0.0), F.lit(0.0)]
     return d.select("repo_id", "path", F.coalesce("parses", F.lit(True)).alias("parses"), *(F.coalesce(u, b).alias(u) for u, b in zip(_U, bare)))
 
 
-def _name_evidence(path: Column) -> list[Column]:
-    gen = path.rlike(_GEN_NAME.pattern)
-    mini = path.rlike(_MIN_NAME.pattern)
-    return [F.lit(2.0), F.when(gen, 5.0).otherwise(0.0), F.when(mini, 5.0).otherwise(0.0), F.lit(0.0), F.lit(-1.0)]
-
-
 def _parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
 
@@ -152,63 +165,79 @@ def _depth(path: Column) -> Column:
     return F.when(path == "", 0).otherwise(F.size(F.split(path, "/")))
 
 
+_B = [f"b{k}" for k in range(5)]
+_I = [f"i{k}" for k in range(5)]
+_M = [f"m{k}" for k in range(5)]
+
+
+def _doubles(names: list[str]) -> str:
+    return ", ".join(f"{n} double" for n in names)
+
+
+def _sums(d: DataFrame) -> DataFrame:
+    return d.groupBy("repo_id", "dir").agg(*(F.sum(a).alias(a) for a in _A))
+
+
 def label_files(files: DataFrame, raw_files: DataFrame) -> DataFrame:
     """(repo_id, path, parses, label, p_handwritten) of every source file, by belief propagation."""
-    f = file_evidence(files, raw_files)
-    f = cut(f.withColumn("dir", _parent(F.col("path"))).withColumn("depth", _depth(F.col("dir"))))
-    deepest = f.agg(F.max("depth")).first()[0]
-    empty = f.select("repo_id", "path", "parses", F.lit(LABELS[0]).alias("label"), F.lit(1.0).alias("p_handwritten"))
+    f = file_evidence(files, raw_files).withColumn("dir", _parent(F.col("path")))
+
+    def to_dirs(b: pa.RecordBatch) -> pa.RecordBatch:
+        m = message_up(_columns(b, _U), _FILE)
+        return _batch(b, ["repo_id", "path", "parses", *_U, "dir"], {a: m[:, k] for k, a in enumerate(_A)})
+
+    kinds = f"repo_id string, path string, parses boolean, {_doubles(_U)}, dir string, {_doubles(_A)}"
+    f = cut(map_batches(f, to_dirs, kinds))
+    from_files = cut(_sums(f).withColumn("depth", _depth(F.col("dir"))))
+    deepest = from_files.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return empty
+        return f.select("repo_id", "path", "parses", F.lit(LABELS[0]).alias("label"), F.lit(1.0).alias("p_handwritten"))
 
-    def sums(d: DataFrame) -> DataFrame:
-        return d.groupBy("repo_id", "dir").agg(*(F.sum(a).alias(a) for a in _A))
+    def upward(b: pa.RecordBatch) -> pa.RecordBatch:
+        e = np.array([dir_evidence(p) for p in b.column("dir").to_pylist()]).reshape(-1, 5)
+        m = message_up(_columns(b, _A) + e, _DIR)
+        return _batch(b, ["repo_id", "dir"], {x: m[:, k] for k, x in enumerate(_M)})
 
-    ups = _message([F.col(u) for u in _U], _FILE, True)
-    from_files = f.select("repo_id", "dir", "depth", *(m.alias(a) for m, a in zip(ups, _A))).groupBy("depth", "repo_id", "dir").agg(*(F.sum(a).alias(a) for a in _A))
-    from_files = cut(from_files)
-    name = F.regexp_extract("dir", r"([^/]*)$", 1)
-    evidence = _dir_evidence(name)
+    own_schema = f"repo_id string, dir string, {_doubles(_M)}"
     levels: dict[int, DataFrame] = {}
+    messages: dict[int, DataFrame] = {}
     for d in range(deepest, -1, -1):
         own = from_files.filter(F.col("depth") == d).select("repo_id", "dir", *_A)
         if d < deepest:
-            below = levels[d + 1]
-            total = [e + F.col(a) for e, a in zip(evidence, _A)]
-            msgs = _message(total, _DIR, True)
-            own = own.unionByName(below.select("repo_id", _parent(F.col("dir")).alias("dir"), *(m.alias(a) for m, a in zip(msgs, _A))))
-            own = sums(own)
+            own = _sums(own.unionByName(messages[d + 1].select("repo_id", _parent(F.col("dir")).alias("dir"), *(F.col(m).alias(a) for m, a in zip(_M, _A)))))
         levels[d] = cut(own)
-    # downwards: what each directory hears from above, and its belief without its own child's message
-    inward = levels[0].select("repo_id", "dir", *(F.lit(0.0).alias(f"i{k}") for k in range(5)), *_A)
-    beliefs = []
+        if d:
+            messages[d] = cut(map_batches(levels[d], upward, own_schema))
+
+    def belief(b: pa.RecordBatch) -> pa.RecordBatch:
+        e = np.array([dir_evidence(p) for p in b.column("dir").to_pylist()]).reshape(-1, 5)
+        x = _columns(b, _A) + e + _columns(b, _I)
+        return _batch(b, ["repo_id", "dir"], {n: x[:, k] for k, n in enumerate(_B)})
+
+    def downward(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = message_down(_columns(b, _B) - _columns(b, _M), _DIR)
+        return _batch(b, ["repo_id", "dir"], {n: x[:, k] for k, n in enumerate(_I)})
+
+    inward = levels[0].select("repo_id", "dir", *_A, *(F.lit(float(v)).alias(i) for v, i in zip(_ROOT, _I)))
+    beliefs: DataFrame | None = None
     for d in range(deepest + 1):
-        belief = inward.select("repo_id", "dir", *((e + F.col(a) + F.col(f"i{k}")).alias(f"b{k}") for k, (e, a) in enumerate(zip(evidence, _A))))
-        belief = cut(belief)
-        beliefs.append(belief)
-        if d == deepest:
-            break
-        total = [e + F.col(a) for e, a in zip(evidence, _A)]
-        child = levels[d + 1].select("repo_id", "dir", *_A, _parent(F.col("dir")).alias("p_dir"), *(m.alias(f"m{k}") for k, m in enumerate(_message(total, _DIR, True))))
-        up = belief.withColumnRenamed("dir", "p_dir")
-        j = child.join(up, ["repo_id", "p_dir"])
-        downs = _message([F.col(f"b{k}") - F.col(f"m{k}") for k in range(5)], _DIR, False)
-        inward = j.select("repo_id", "dir", *_A, *(x.alias(f"i{k}") for k, x in enumerate(downs)))
-    all_beliefs = beliefs[0]
-    for b in beliefs[1:]:
-        all_beliefs = all_beliefs.unionByName(b)
-    j = f.join(all_beliefs, ["repo_id", "dir"])
-    own = _message([F.col(u) for u in _U], _FILE, True)
-    j = j.select("repo_id", "path", "parses", *_U, *(F.col(f"b{k}") - own[k] for k in range(5)))
-    cols = j.columns[-5:]
-    downs = _message([F.col(f"`{c}`") for c in cols], _FILE, False)
-    j = j.select("repo_id", "path", "parses", *((F.col(u) + x).alias(f"s{k}") for k, (u, x) in enumerate(zip(_U, downs))))
-    top = F.greatest(*(F.col(f"s{k}") for k in range(5)))
-    z = sum((F.exp(F.col(f"s{k}") - top) for k in range(5)), F.lit(0.0))
-    label = F.lit(LABELS[-1])
-    for k in range(3, -1, -1):
-        label = F.when(F.col(f"s{k}") == top, F.lit(LABELS[k])).otherwise(label)
-    return j.select("repo_id", "path", "parses", label.alias("label"), (F.exp(F.col("s0") - top) / z).alias("p_handwritten"))
+        here = cut(map_batches(inward, belief, f"repo_id string, dir string, {_doubles(_B)}"))
+        beliefs = here if beliefs is None else beliefs.unionByName(here)
+        if d < deepest:
+            child = messages[d + 1].withColumn("p_dir", _parent(F.col("dir")))
+            heard = map_batches(child.join(here.withColumnRenamed("dir", "p_dir"), ["repo_id", "p_dir"]).select("repo_id", "dir", *_B, *_M), downward, f"repo_id string, dir string, {_doubles(_I)}")
+            inward = levels[d + 1].join(heard, ["repo_id", "dir"])
+
+    def final(b: pa.RecordBatch) -> pa.RecordBatch:
+        u = _columns(b, _U)
+        x = u + message_down(_columns(b, _B) - _columns(b, _A), _FILE)
+        p = np.exp(x - x.max(axis=1, keepdims=True)) if len(x) else x
+        p = p / p.sum(axis=1, keepdims=True) if len(x) else p
+        names = pa.array([LABELS[k] for k in (p.argmax(axis=1) if len(p) else [])], pa.string())
+        return pa.RecordBatch.from_arrays([b.column("repo_id"), b.column("path"), b.column("parses"), names, pa.array(p[:, 0], pa.float64())], ["repo_id", "path", "parses", "label", "p_handwritten"])
+
+    j = f.join(beliefs, ["repo_id", "dir"]).select("repo_id", "path", "parses", *_U, *_A, *_B)
+    return map_batches(j, final, "repo_id string, path string, parses boolean, label string, p_handwritten double")
 
 
 def not_handwritten(files: DataFrame, raw_files: DataFrame) -> DataFrame:
