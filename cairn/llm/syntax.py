@@ -51,7 +51,11 @@ _LEXERS = {
 }
 _LEXERS["ts"] = _LEXERS["js"]
 #: Tried before all else, as most tokens are names: no string prefix, no number.
-_FIRST = {"py": r"[^\W\d]\w*+(?![\"'])", "js": r"[^\W\d][\w$]*", "ts": r"[^\W\d][\w$]*", "json": r"[^\W\d]\w*"}
+_FIRST = {"py": r"[^\W\d]\w*+(?![\"'])(?:\.[^\W\d]\w*+(?![\"']))*", "json": r"[^\W\d]\w*"}
+_DOTTED = r"[^\W\d][\w$]*(?:\.[^\W\d][\w$]*)*"
+
+
+_RUN = re.compile(r"([0s],)(?:\n*\1){2,}")
 
 
 class Lexer:
@@ -62,7 +66,7 @@ class Lexer:
         ops = sorted(s.operators.split(), key=len, reverse=True)
         space = r"[^\S\n]" if s.newline or s.name == "py" else r"\s"
         line = [r"\n\s*"] if s.newline else []
-        parts = [_FIRST.get(s.name, _IDENT), f"{space}+", *line, *_LEXERS[s.name], *map(re.escape, ops), r"/\*", r"[\"'`]", r"[^\x00-\x7f]", r"[\x00-\x08\x0b\x0c\x0e-\x1f]"]
+        parts = [_FIRST.get(s.name, _DOTTED), f"{space}+", *line, *_LEXERS[s.name], *map(re.escape, ops), r"/\*", r"[\"'`]", r"[^\x00-\x7f]", r"[\x00-\x08\x0b\x0c\x0e-\x1f]"]
         # a token takes the space behind it along: half as many matches
         self.rx = re.compile("(?:" + "|".join(f"(?:{p})" for p in parts) + f"){space}*", re.M if s.name == "cs" else 0)
         ends = "".join(s.spelling.get(w, "") for w in ("break", "continue", "fallthrough", "return", "++", "--"))
@@ -74,8 +78,11 @@ class Lexer:
         x = m[0]
         got = self.seen.get(x)
         if got is None:
+            c = x[0]
+            if c in "\"'`" and len(x) > 2 and c == x.rstrip()[-1]:
+                return "s"  # strings hardly repeat: they would only fill the table
             got = self._kind(x if x.isspace() else x.rstrip())
-            if len(x) < 48:
+            if len(x) < 32 and c not in "\"'`/#0123456789":
                 if len(self.seen) > MEMO:
                     self.seen.clear()
                 self.seen[x] = got
@@ -86,6 +93,8 @@ class Lexer:
         if got is not None:
             return got
         c, name = x[0], self.s.name
+        if "." in x and (c.isalpha() or c == "_"):  # a dotted name
+            return ".".join(self._kind(p) for p in x.split("."))
         if x.isspace():
             if name == "py" and c == "\n":
                 return "\n" + chr(0x100 + min(len(x[1:].expandtabs(8)), 2000))
@@ -123,6 +132,8 @@ class Lexer:
             text = text[1:]
         if self.s.name != "json":
             text = text.replace("\r\n", "\n").replace("\r", "\n")
+        for x in (", ", ": ", ") ", "= ", "; "):  # space that parts nothing (inside strings it does not matter)
+            text = text.replace(x, x[0])
         if self.s.name == "py":
             text = "\n" + text  # the first line has an indentation, too
         out = self.rx.sub(self._token, text)
@@ -136,6 +147,7 @@ class Reducer:
 
     def __init__(self, s: Syntax):
         self.s, self.lex = s, Lexer(s)
+        self.most = 2  # edits up to which a span's cost is exact
         self.memo: dict[str, str] = {}
         self.chunks: dict[tuple[str, str], int] = {}
         self.classes: dict[tuple, str] = {}
@@ -163,7 +175,9 @@ class Reducer:
         return c
 
     def _group(self, m: re.Match) -> str:
-        x = m[0]
+        return self._group_text(m[0])
+
+    def _group_text(self, x: str) -> str:
         got = self.memo.get(x)
         if got is None:
             if len(self.memo) > MEMO:
@@ -181,6 +195,10 @@ class Reducer:
             return self._class(bracket, self._all(bracket), 1)
         if s.name == "py":
             body = re.sub("\n.", "", body)
+        if len(body) > 12:  # a long list of one kind of value reads as a short one
+            short = _RUN.sub(r"\1\1", body)
+            if len(short) < len(body):
+                return self._group_text(x[0] + short + x[-1])
         flat = body.replace("\n", "")
         kinds = [k for k in s.kinds[bracket] if (bracket, k) in s.grammar.kinds and s.grammar.accepts(k, flat)]
         if bracket == "C":
@@ -271,10 +289,10 @@ class Reducer:
         return total
 
     def _repair(self, rule: str, x: str, open_end: bool) -> int:
-        key = ("repair " + rule, x)
+        key = (f"repair {self.most} {rule}", x)
         got = self.chunks.get(key)
         if got is None:
-            got = self.chunks[key] = max(1, min(self.s.grammar.repair(rule, y, 2) for y in ([x, x + ";"] if open_end else [x])))
+            got = self.chunks[key] = max(1, min(self.s.grammar.repair(rule, y, self.most) for y in ([x, x + ";"] if open_end else [x])))
         return got
 
     def collapse(self, tokens: str) -> str:
@@ -303,7 +321,7 @@ class Reducer:
             return total + self._python(tokens)
         if self.s.name == "json":
             flat = tokens
-            return total if self.s.grammar.accepts("value", flat) else total + (max(1, flat.count(BAD)) if BAD in flat else self.s.grammar.repair("value", flat, 2))
+            return total if self.s.grammar.accepts("value", flat) else total + (max(1, flat.count(BAD)) if BAD in flat else self.s.grammar.repair("value", flat, self.most))
         if self.s.name == "go":
             if not re.match(f"\n*{self.s.spelling['package']}i;", tokens):
                 total += 1
@@ -394,9 +412,11 @@ class Reducer:
 _READERS: dict[str, Reducer] = {}
 
 
-def reader(language: str) -> Reducer:
+def reader(language: str, most: int = 2) -> Reducer:
+    """The worker's reducer of a language; ``most`` is how many edits of one span are counted exactly."""
     if language not in _READERS:
         _READERS[language] = Reducer(syntax(language))
+    _READERS[language].most = most
     return _READERS[language]
 
 
@@ -489,7 +509,7 @@ def examined(raw_files: DataFrame, locate: bool = True) -> DataFrame:
             if locate:
                 rep = examine(lang, text)
             else:
-                cost = reader(lang).cost(text)
+                cost = reader(lang, 1).cost(text)
                 rep = Report(cost, "") if cost and confirmed(lang, text) else None
             rows.append((rep is None, rep.cost if rep else 0, rep.cause if rep else None, rep.lines if rep else []))
         cols = list(zip(*rows)) or [()] * 4
