@@ -39,10 +39,12 @@ _GEN_NAME = re.compile(r"(?i)(_pb2(_grpc)?\.pyi?|\.pb\.(go|cc|h|ts|js)|[._-]gen(
 _MIN_NAME = re.compile(r"(?i)([.-]min\.\w+|[.-]bundle\.\w+|\.prod\.js|\.chunk\.js)$")
 _COMMENT = re.compile(r"(?m)^[ \t]*(?://+!?|#+|/\*+!?|\*+|--|<!--|\"\"\"|''')[ \t]*(.*)$")
 _GEN_TEXT = re.compile(
-    r"(?i)code generated by|@generated\b|\bauto-?generated\b|\bautogenerated\b|<auto-generated|generated (?:from|by) \S+.*(?:do not|don't|nicht|on build|automatically)|machine output of|output of the \S+ (?:compiler|generator|tool)\b|automatically (?:created|generated|produced)|do not (?:edit|modify)(?:\s*(?:!|\.|$|by hand|manually|this file|directly))|(?:erzeugt|generiert) von .*nicht|g[ée]n[ée]r[ée] (?:par|automatiquement)|generado (?:por|autom)|gerado (?:por|autom)|generato (?:da|autom)|gegenereerd door|manual changes (?:are|will be) lost"
+    r"(?i)code generated by|sourcemappingurl=|@generated\b|\bauto-?generated\b|\bautogenerated\b|<auto-generated|generated (?:from|by) \S+.*(?:do not|don't|nicht|on build|automatically)|machine output of|output of the \S+ (?:compiler|generator|tool)\b|automatically (?:created|generated|produced)|do not (?:edit|modify)(?:\s*(?:!|\.|$|by hand|manually|this file|directly))|(?:erzeugt|generiert) von .*nicht|g[ée]n[ée]r[ée] (?:par|automatiquement)|generado (?:por|autom)|gerado (?:por|autom)|generato (?:da|autom)|gegenereerd door|manual changes (?:are|will be) lost"
 )
 _VENDOR_TEXT = re.compile(r"(?i)\bvendored\b|copied (?:unchanged|verbatim|unmodified)? ?from the .*project|bundled copy|in sync with upstream|upstream fixes only|local edits forbidden|\bv\d+\.\d+(?:\.\d+)?\s*\|\s*\(c\)\s*\d{4}|(?:imported|forked|taken) from https?://")
-_NUMBERED = re.compile(r"(?m)^[^\n]*?[A-Za-z]_?(\d{1,5})\b")
+_NUMBERED = re.compile(r"(?m)^[^\d\n]*[A-Za-z_](\d{1,5})\b")
+_NINE = re.compile(r"9(?<=[A-Za-z_]9)\b")
+_TELLING = ("generat", "@gen", "output", "erzeugt", "do not", "automatic", "manual changes", "gegenereerd", "vendored", "copied", "bundled", "upstream", "forbidden", "(c)", "imported from", "forked from", "taken from", "sourcemappingurl")
 _DATA = re.compile(r"(?:0[xX][0-9a-fA-F]+|\b\d+\b)\s*,|\"[A-Za-z0-9+/=\\x]{40,}\"\s*[,+]?|'[A-Za-z0-9+/=\\x]{40,}'\s*[,+]?")
 
 
@@ -57,35 +59,33 @@ def text_evidence(path: str, text: str | None) -> list[float]:
         mini += 9
     if not text:
         return [hand, gen, mini, vend, blob]
-    head = text[:1500]
-    for k, m in enumerate(_COMMENT.finditer(text)):
-        line = m[1]
-        if _GEN_TEXT.search(line) and not text[: m.start()].rstrip().endswith(("=", "(", ",", "+")):
-            gen += 9
-        if k < 12 and m.start() < len(head) and _VENDOR_TEXT.search(line):
-            vend += 6.7
-    numbers = [int(x) for x in _NUMBERED.findall(text)]
+    low = text.lower()
+    if any(k in low for k in _TELLING):
+        for k, m in enumerate(_COMMENT.finditer(text)):
+            line = m[1]
+            if _GEN_TEXT.search(line):
+                gen += 9
+            if k < 12 and m.start() < 1500 and _VENDOR_TEXT.search(line):
+                vend += 6.7
     run = best = 0
-    last = None
-    for x in numbers:
-        if last is not None and x == last + 1:
+    last = -1
+    for x in map(int, _NUMBERED.findall(text) if _NINE.search(text) else ()):  # members numbered 0, 1, 2, ... one after the other
+        if x == last + 1 and (run or x <= 1):
             run += 1
+            if run > best:
+                best = run
         elif x != last:
-            run = 0
+            run = int(x <= 1)
         last = x
-        best = max(best, run)
-    lines = [x for x in text.splitlines() if x.strip()]
-    if best >= 8 and best >= 0.12 * len(lines):
+    lines = text.splitlines()
+    if best >= 10 and best >= 0.22 * len(lines):
         gen += 9
-    long = max(map(len, lines), default=0)
-    body = sum(map(len, lines))
-    data = sum(len(m[0]) for m in _DATA.finditer(text))
-    if data > 0.6 * body and body > 400:
+    body = len(text) - len(lines)
+    if body > 400 and text.count(",") > 0.006 * body and sum(len(m[0]) for m in _DATA.finditer(text)) > 0.6 * sum(len(x.strip()) for x in lines):
         blob += 15
-    elif body > 200:
-        space = text.count(" ") + text.count("\n")
+    elif body > 200 and max(map(len, lines), default=0) > 250:
         dense = sum(len(x) for x in lines if len(x) > 250 and x.count(" ") < 0.12 * len(x) and sum(x.count(c) for c in ";{}(),=") > 0.08 * len(x))
-        if dense > 0.5 * body or (long > 1000 and space < 0.1 * len(text) and dense):
+        if dense > 0.5 * body or (dense and text.count(" ") + len(lines) < 0.1 * len(text)):
             mini += 13
     return [hand, gen, mini, vend, blob]
 
@@ -94,7 +94,7 @@ def _work(b: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for path, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
         lang = EXTENSIONS[path.rsplit(".", 1)[1].lower()]
-        parses = text is None or reader(lang).cost(text) == 0 or not confirmed(lang, text)
+        parses = text is None or reader(lang, 1).cost(text) == 0 or not confirmed(lang, text)
         rows.append((parses, *text_evidence(path, text)))
     cols = list(zip(*rows)) or [()] * 6
     kinds = [pa.bool_(), *[pa.float64()] * 5]
