@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.plans import core_queries
+from cairn.plans import core_queries, reference_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(core_queries.QUERIES)
+    return core_queries.QUERIES | reference_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core_queries.SQL)
+    return core_queries.SQL | reference_queries.oracle_sql()
