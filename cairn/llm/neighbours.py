@@ -4,8 +4,9 @@
    ids. The fold ranks before it shuffles, so a vector that a third of all rows repeat leaves a few rows per task.
 2. Cells: centroids come from a bounded sample (``sample_per_cell`` vectors for each of at most ``max_cells`` cells,
    about one cell for ``cell_rows`` vectors, refined by spherical k-means). Every vector goes to its ``probes`` nearest
-   cells as a query and to the nearest ``stored`` as data. Cells that come out too large get centroids of their own; what is
-   still large (vectors too close to be told apart) is cut into row blocks, tile by tile.
+   cells as a query and to the nearest ``stored`` as data. A cell of more than ``block`` rows is cut into row blocks, tile by
+   tile, so it stays exact; one of more than ``hot_cells`` times the usual size gets centroids of its own, and its rows ask
+   four times as many cells.
 3. A tile is the product of two blocks of int8 vectors (held as float32, where these integer products are exact), with a
    bound on the quantisation error of every entry. Pairs that can still be among a row's k best are recomputed in double
    precision; the lists of all tiles of a row are merged by heaps.
@@ -122,7 +123,7 @@ def _best(lists, k: int) -> list[tuple[float, int]]:
     return out
 
 
-def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 4, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 4, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 16384, tile: int = 4096, hot_cells: int = 64) -> DataFrame:
     """(id, neighbour_id, similarity, rank) of every usable vector of ``df`` (id, embedding)."""
     spark = df.sparkSession
     rows = usable(df, dim=dim)
@@ -153,33 +154,36 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
 
         return spread(reps).mapInArrow(run, "v array<float>, ids array<bigint>, cells array<int>")
 
-    hot: dict[int, int] = {}
+    sizes: dict[int, int] = {}
+    refined: list[int] = []
     for _ in range(3):
-        sizes = {r[0]: r[1] for r in assigned(centroids, 1).groupBy(F.col("cells")[0].alias("cell")).count().filter(F.col("count") > 8 * cell_rows).collect()}
-        hot = {c: s for c, s in sizes.items() if s > block}
-        if not hot or len(centroids) >= max_cells:
+        sizes = {r[0]: r[1] for r in assigned(centroids, 1).groupBy(F.col("cells")[0].alias("cell")).count().filter(F.col("count") > block).collect()}
+        hot = {c: s for c, s in sizes.items() if s > hot_cells * cell_rows}
+        room = max_cells - len(centroids)
+        if not hot or room < 2:
             break
+        share = min(1.0, room / max(1, sum(8 * s // (hot_cells * cell_rows) for s in hot.values())))
         more = []
-        share = min(1.0, (max_cells - len(centroids)) / max(1, sum(s // cell_rows for s in hot.values())))
         for c, s in hot.items():
-            want = max(2, int(share * s / cell_rows))
-            own = assigned(centroids, 1).filter(F.col("cells")[0] == c)
-            x = sample(own, s, want * sample_per_cell)
+            want = max(2, int(share * 8 * s / (hot_cells * cell_rows)))
+            x = sample(assigned(centroids, 1).filter(F.col("cells")[0] == c), s, want * sample_per_cell)
             if len(x):
                 more.append(_kmeans(x, want))
         if not more:
             break
+        refined += [*hot, *range(len(centroids), len(centroids) + sum(map(len, more)))]
         centroids = np.concatenate([centroids, *more])
-    sizes = hot
 
-    a = assigned(centroids, max(probes, stored))
+    # rows of a refined place ask more cells: there the cells lie close together
+    asks = F.when(F.col("nearest").isin(refined), 4 * probes).otherwise(probes) if refined else F.lit(probes)
+    a = assigned(centroids, max(probes * (4 if refined else 1), stored))
     parts = F.create_map(*itertools.chain(*((F.lit(int(c)), F.lit(-(-int(s) // block))) for c, s in sizes.items()))) if sizes else None
     n_parts = F.coalesce(parts[F.col("cell")], F.lit(1)) if parts is not None else F.lit(1)
     own = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("n_parts")).cast("int")
-    a = a.select("v", "ids", F.posexplode("cells").alias("pos", "cell")).withColumn("n_parts", n_parts)
+    a = a.select("v", "ids", F.col("cells")[0].alias("nearest"), F.posexplode("cells").alias("pos", "cell")).withColumn("n_parts", n_parts)
     # the row's own part as data; as a query it meets every part of the cell
     is_data = (F.col("pos") < stored) & (F.col("part") == own)
-    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).select("cell", "part", "v", "ids", is_data.alias("is_data"), (F.col("pos") < probes).alias("is_query"))
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).select("cell", "part", "v", "ids", is_data.alias("is_data"), (F.col("pos") < asks).alias("is_query"))
     a = a.filter("is_data or is_query")
 
     def tiles(t: pa.Table) -> pa.Table:
@@ -193,8 +197,8 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
         for i in range(0, len(query), 1024):
             q = query[i : i + 1024]
             lists: list[list] = [[] for _ in q]
-            for j in range(0, len(data), block):
-                d = data[j : j + block]
+            for j in range(0, len(data), tile):
+                d = data[j : j + tile]
                 same = np.where((at[q] >= j) & (at[q] < j + len(d)), at[q] - j, -1)
                 for z, (c, s) in enumerate(tile_candidates(x[q], x[d], same, k)):
                     lists[z].append(sorted((-sv, other) for cv, sv in zip(c.tolist(), s.tolist()) for other in ids[d[cv]]))

@@ -54,9 +54,9 @@ def text_evidence(path: str, text: str | None) -> list[float]:
     hand, gen, mini, vend, blob = (0.0, -3.0, -6.0, -0.7, -8.0) if text else (0.0, 0.0, 0.0, 0.0, 0.0)
     name = path.rsplit("/", 1)[-1]
     if _GEN_NAME.search(name):
-        gen += 7
+        gen += 10
     if _MIN_NAME.search(name):
-        mini += 9
+        mini += 15
     if not text:
         return [hand, gen, mini, vend, blob]
     low = text.lower()

@@ -237,7 +237,7 @@ class Reducer:
                 if buf and not (j < n and body[j] in self.cont):
                     out.append(("".join(buf), True))
                     buf = []
-                elif buf and buf[-1][-1] not in ";" and ord(buf[-1][-1]) < 0xF0000:
+                elif buf and buf[-1][-1] != ";" and buf[-1][-1] not in self.brace_chars:
                     buf.append(";")
                 a = j
                 i = j
@@ -258,7 +258,7 @@ class Reducer:
         got = self.chunks.get(key)
         if got is None:
             got = self.s.grammar.accepts(rule, x)
-            if not got and open_end and self.s.newline == "keep":
+            if not got and open_end and self.s.newline:
                 y = x[:-1] + ";" if x.endswith(",") and rule == "members" else x + ";"
                 got = self.s.grammar.accepts(rule, y)
             self.chunks[key] = got = int(got)
