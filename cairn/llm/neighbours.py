@@ -3,8 +3,8 @@
 1. Usable vectors (of ``dim`` finite numbers, not all zeros) are folded to distinct ones; each keeps its k+1 smallest
    ids. The fold ranks before it shuffles, so a vector that a third of all rows repeat leaves a few rows per task.
 2. Cells: centroids come from a bounded sample (``sample_per_cell`` vectors for each of at most ``max_cells`` cells,
-   about one cell for ``cell_rows`` vectors, refined by spherical k-means). Every vector goes to its ``probes`` nearest
-   cells as a query and to the nearest ``stored`` as data. A cell of more than ``block`` rows is cut into row blocks, tile by
+   about one cell for ``cell_rows`` vectors, refined by spherical k-means). Every vector goes to its nearest
+   cells as a query (two, and up to ``probes`` whose centroid is within ``margin`` of the best by cosine) and to the nearest ``stored`` as data. A cell of more than ``block`` rows is cut into row blocks, tile by
    tile, so it stays exact; one of more than ``hot_cells`` times the usual size gets centroids of its own, and its rows ask
    four times as many cells.
 3. A tile is the product of two blocks of int8 vectors (held as float32, where these integer products are exact), with a
@@ -70,16 +70,19 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 3, seed: int = 7) -> np.ndarray
     return c
 
 
-def _nearest(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
-    """The m nearest centroids of each row, nearest first."""
+def _nearest(x: np.ndarray, c: np.ndarray, m: int, margin: float = 9.0, least: int = 1) -> list[np.ndarray]:
+    """Up to m nearest centroids of each row, nearest first; beyond the first ``least`` only within ``margin`` of the best."""
     m = min(m, len(c))
-    out = np.empty((len(x), m), np.int32)
+    out: list[np.ndarray] = []
     step = max(1, (32 << 20) // (4 * len(c)))
     for i in range(0, len(x), step):
         s = x[i : i + step] @ c.T
         top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(len(c)), (len(s), 1))
-        order = np.argsort(-np.take_along_axis(s, top, 1), axis=1)
-        out[i : i + step] = np.take_along_axis(top, order, 1)
+        score = np.take_along_axis(s, top, 1)
+        order = np.argsort(-score, axis=1)
+        top, score = np.take_along_axis(top, order, 1).astype(np.int32), np.take_along_axis(score, order, 1)
+        n = np.maximum((score >= score[:, :1] - margin).sum(axis=1), min(least, m))
+        out += [t[:k] for t, k in zip(top, n.tolist())]
     return out
 
 
@@ -123,7 +126,7 @@ def _best(lists, k: int) -> list[tuple[float, int]]:
     return out
 
 
-def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 4, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 16384, tile: int = 4096, hot_cells: int = 64) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 6, margin: float = 0.07, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 16384, tile: int = 4096, hot_cells: int = 64) -> DataFrame:
     """(id, neighbour_id, similarity, rank) of every usable vector of ``df`` (id, embedding)."""
     spark = df.sparkSession
     rows = usable(df, dim=dim)
@@ -144,13 +147,13 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
         first = sample(reps, n, 64)
     centroids = _kmeans(first, cells)
 
-    def assigned(c, m: int):
+    def assigned(c, m: int, margin: float = 9.0):
         shared = spark.sparkContext.broadcast(c)
 
         def run(batches):
             for b in batches:
                 x = _unit(_vectors(b.column(0), dim).astype(np.float64)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(_nearest(x, shared.value, m)), pa.list_(pa.int32()))], ["v", "ids", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_nearest(x, shared.value, m, margin, 2), pa.list_(pa.int32()))], ["v", "ids", "cells"])
 
         return spread(reps).mapInArrow(run, "v array<float>, ids array<bigint>, cells array<int>")
 
@@ -176,7 +179,7 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
 
     # rows of a refined place ask more cells: there the cells lie close together
     asks = F.when(F.col("nearest").isin(refined), 4 * probes).otherwise(probes) if refined else F.lit(probes)
-    a = assigned(centroids, max(probes * (4 if refined else 1), stored))
+    a = assigned(centroids, max(probes * (4 if refined else 1), stored), 9.0 if refined else margin)
     parts = F.create_map(*itertools.chain(*((F.lit(int(c)), F.lit(-(-int(s) // block))) for c, s in sizes.items()))) if sizes else None
     n_parts = F.coalesce(parts[F.col("cell")], F.lit(1)) if parts is not None else F.lit(1)
     own = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("n_parts")).cast("int")
