@@ -31,8 +31,8 @@ def search_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
 
     def one(w: Column) -> Column:
-        parts = split_identifier(w)
-        return F.when(F.size(parts) > 1, F.concat(F.array(F.lower(w)), parts)).otherwise(F.array(F.lower(w)))
+        # an array of one array binds the parts to a variable, so that they are worked out once
+        return F.transform(F.array(split_identifier(w)), lambda parts: F.when(F.size(parts) > 1, F.concat(F.array(F.lower(w)), parts)).otherwise(F.array(F.lower(w))))[0]
 
     return F.flatten(F.transform(words, one))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import text as T
 from cairn.operators.extract import facts_of
+from cairn.session import spread
 
 WINDOW, OVERLAP = 60, 10
 MIN_CHUNK, MAX_CHUNK = 100, 400
@@ -123,7 +124,7 @@ def structure_chunks(files: DataFrame) -> DataFrame:
 
     known = T.language(F.col("path")).isin("python", "javascript", "typescript", "go", "java", "csharp")
     d = files.filter(F.col("content").isNotNull())
-    cut_ = d.filter(known).select("repo_id", "path", "content").mapInPandas(run, _SCHEMA)
+    cut_ = spread(d.filter(known).select("repo_id", "path", "content")).mapInPandas(run, _SCHEMA)
     rest = line_windows(d.filter(~known).select("repo_id", F.col("path").alias("file_path"), "content"), ["repo_id", "file_path"])
     rest = rest.select("repo_id", "file_path", F.lit(None).cast("string").alias("symbol_name"), F.lit("block").alias("symbol_kind"), "start_line", "end_line", "content", F.lit(None).cast("string").alias("context"))
     return cut_.unionByName(rest)

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions import constants as K
+from cairn.session import spread
 
 GRAMMAR = {**K.GRAMMAR_LANGUAGES}
 
@@ -317,12 +318,20 @@ def _scan(language: str, source: str) -> dict:
     kept = [d for d in defs if "qualified" in d]
     calls = [{"from": d["qualified"], "to": b.split(".")[-1], "receiver": ".".join(b.split(".")[:-1]) or None, "kind": "inherit", "line": sc.line(d["at"])} for d in kept for b in d["bases"] if re.fullmatch(r"[\w$.]+", b)]
     at_def = {d["at"] for d in kept}
-    order = sorted(kept, key=lambda d: d["start"])
+    order = sorted(kept, key=lambda d: (d["start"], -d["end"]))
+    around: list[dict] = []
+    nxt = 0
     for m in _CALL.finditer(code):
         name = m["name"]
         if name in _NOT_CALLS or m.start("name") in at_def:
             continue
-        inside = [d for d in order if d["start"] <= m.start("name") <= d["end"]]
+        at = m.start("name")
+        while nxt < len(order) and order[nxt]["start"] <= at:
+            around.append(order[nxt])
+            nxt += 1
+        while around and around[-1]["end"] < at:
+            around.pop()
+        inside = [d for d in around if d["end"] >= at]
         recv = re.sub(r"[\s?]", "", m["recv"] or "").rstrip(".") or None
         calls.append({"from": inside[-1]["qualified"] if inside else None, "to": name, "receiver": recv, "kind": "call", "line": sc.line(m.start("name"))})
     return {"symbols": symbols, "calls": calls, "imports": _imports(language, sc), "env": _env(language, sc), "namespace": _namespace(language, sc), "scanned": sc}
@@ -523,7 +532,7 @@ def extract(files: DataFrame, tags: tuple[str, ...] = tuple(K.DEBT_TAGS)) -> Dat
                 rows.append((repo, path, lang, f["namespace"], f["error"], symbols, calls, f["imports"], f["env"], debt_of(path, lang, text, tags, f.get("scanned"))))
             yield pd.DataFrame(rows, columns=["repo_id", "file_path", "language", "namespace", "error", "symbols", "calls", "imports", "env", "debt"])
 
-    return files.filter(F.col("content").isNotNull()).select("repo_id", "path", "content").mapInPandas(run, SCHEMA)
+    return spread(files.filter(F.col("content").isNotNull()).select("repo_id", "path", "content")).mapInPandas(run, SCHEMA)
 
 
 def symbols_table(facts: DataFrame) -> DataFrame:

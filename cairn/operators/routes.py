@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from cairn.functions import constants as K, text as T
 from cairn.operators import hierarchy
 from cairn.operators.extract import Scanned, _name, language_of
+from cairn.session import spread
 
 VERBS = ["get", "post", "put", "patch", "delete", "head", "options"]
 
@@ -442,7 +443,7 @@ def detect_files(files: DataFrame) -> DataFrame:
                 rows.append((repo, path, f.routes, f.routers, f.includes))
             yield pd.DataFrame(rows, columns=["repo_id", "file_path", "routes", "routers", "includes"])
 
-    return files.filter(F.col("content").isNotNull()).select("repo_id", "path", "content").mapInPandas(run, SCHEMA)
+    return spread(files.filter(F.col("content").isNotNull()).select("repo_id", "path", "content")).mapInPandas(run, SCHEMA)
 
 
 def table_of(facts: DataFrame, kind: str) -> DataFrame:

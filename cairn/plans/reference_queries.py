@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import constants as K, text as T
 from cairn.operators import chunking, clones, conversations, diagrams, docs, extract, graph, hierarchy, incremental, index, listings, resolve, routes, search
-from cairn.session import table
+from cairn.session import cut, table
 from cairn.sources import repository
 from cairn.streaming import indexing
 
@@ -432,7 +432,8 @@ def mermaid_modules(spark, d):
 
 
 def _facts(spark, d):
-    return extract.extract(table(spark, d, "raw_files"))
+    """Facts of all files, written once: several tables are made of them."""
+    return cut(extract.extract(table(spark, d, "raw_files")))
 
 
 @query(None)

@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def python_partitions(df: DataFrame, cores_factor: int = 2, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Spread rows over the cluster before a Python stage when the scan has fewer splits than cores."""
-    n = df.sparkSession.sparkContext.defaultParallelism * cores_factor
-    return df.repartition(n, *columns)
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before an expensive stage, where the scan has fewer splits than the cluster has cores."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n) if df.rdd.getNumPartitions() < n else df
