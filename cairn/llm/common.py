@@ -7,13 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-
-def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
-    """Enough partitions for a Python stage: the scan's own when it has them, else one shuffle by round robin.
-
-    Scans of many small row groups already give a task per few MB; only an input of fewer splits than cores is moved."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * n) if df.rdd.getNumPartitions() < n else df
+from cairn.session import spread  # noqa: F401
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
