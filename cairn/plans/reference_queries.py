@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import constants as K, text as T
 from cairn.operators import chunking, clones, conversations, diagrams, docs, extract, graph, hierarchy, incremental, index, listings, resolve, routes, search
+from cairn.plans.core_queries import P5_NODES
 from cairn.session import cut, table
 from cairn.sources import repository
 from cairn.streaming import indexing
@@ -135,7 +136,8 @@ def search_bm25(spark, d):
     return search.bm25(search.documents_of(chunks_of(spark, d)), QUESTION)
 
 
-@query(None)
+@query("WITH " + _DOCS_SQL + """, terms(term, parts) AS (VALUES """ + ", ".join(f"('{t}', [{', '.join(repr(p) for p in t.split('_') if p)}])" for t in _TERMS) + """),
+m AS (SELECT chunk_id, term, len(list_filter(range(1, len(tokens) - len(parts) + 2), lambda i: tokens[i:i + len(parts) - 1] = parts)) AS tf FROM docs, terms) SELECT chunk_id, term, tf::INT AS tf FROM m WHERE tf > 0""")
 def search_postings(spark, d):
     """Term matches from the postings table: phrases by positions."""
     return search.phrase_matches(search.postings(search.documents_of(chunks_of(spark, d))), _TERMS)
@@ -416,7 +418,12 @@ def callees_by_depth(spark, d):
     return graph.traverse(e, deep, 5, callers=False).hits
 
 
-@query(None)
+@query(P5_NODES + ", t AS (SELECT parent FROM node GROUP BY 1 HAVING parent IS NOT NULL ORDER BY count(*) DESC, parent LIMIT 3), l1 AS (SELECT DISTINCT id FROM node WHERE parent IN (SELECT parent FROM t) AND id NOT IN (SELECT parent FROM t)), l2 AS (SELECT DISTINCT id FROM node WHERE parent IN (SELECT id FROM l1) AND id NOT IN (SELECT parent FROM t UNION ALL SELECT id FROM l1)), l3 AS (SELECT DISTINCT id FROM node WHERE parent IN (SELECT id FROM l2) AND id NOT IN (SELECT parent FROM t UNION ALL SELECT id FROM l1 UNION ALL SELECT id FROM l2)) SELECT id AS node, 1 AS depth FROM l1 UNION ALL SELECT id, 2 FROM l2 UNION ALL SELECT id, 3 FROM l3")
+def caller_levels(spark, d):
+    return callers_by_depth(spark, d).select("node", "depth")
+
+
+@query(P5_NODES + "SELECT id AS src, parent AS dst FROM node WHERE parent IS NOT NULL AND id <> parent AND id IN (SELECT parent FROM node WHERE parent IS NOT NULL)")
 def induced_edges(spark, d):
     e = _router_edges(spark, d)
     return graph.induced_edges(e, e.select(F.col("dst").alias("node")).distinct()).select("src", "dst")
@@ -532,7 +539,13 @@ def env_modules(spark, d):
     return listings.env_modules(listings.env_variables(table(spark, d, "env_vars")))
 
 
-@query(None)
+@query("""WITH e AS (SELECT DISTINCT name, file_path, line, default_value, required, is_secret FROM env_vars WHERE name IS NOT NULL), e2 AS (SELECT DISTINCT name, file_path, line, default_value, is_secret, required FROM e),
+u AS (SELECT name, list(file_path || ':' || line ORDER BY file_path, line, default_value NULLS FIRST) AS p, bool_or(coalesce(is_secret, false)) AS secret, bool_or(coalesce(required, false)) AS req, count(DISTINCT default_value) AS nd, min(default_value) AS d1 FROM e2 GROUP BY 1),
+m0 AS (SELECT name, CASE WHEN contains(file_path, '/') THEN string_split(file_path, '/')[1] ELSE '(root)' END AS module, count(*) AS n FROM e2 GROUP BY 1, 2),
+m AS (SELECT name, module FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, module) AS k FROM m0) WHERE k = 1),
+l AS (SELECT module, u.name, '# ' || CASE WHEN req THEN 'required' ELSE 'optional' END || '. Used in ' || array_to_string(p[1:3], ', ') || CASE WHEN len(p) > 3 THEN ' (+' || (len(p) - 3) || ' more)' ELSE '' END || chr(10)
+  || CASE WHEN secret THEN '# Secret: set a real value; never commit it.' || chr(10) || u.name || '=' ELSE u.name || '=' || CASE WHEN nd = 1 THEN CASE WHEN regexp_matches(d1, '[\\s#''"$\\\\]') THEN '"' || replace(replace(d1, '\\', '\\\\'), '"', '\\"') || '"' ELSE d1 END ELSE '' END END || chr(10) AS s FROM u JOIN m USING (name))
+SELECT module, '# ---- ' || module || ' ----' || chr(10) || chr(10) || string_agg(s, chr(10) ORDER BY name) AS text FROM l GROUP BY 1""")
 def env_example(spark, d):
     return listings.env_example(listings.env_variables(table(spark, d, "env_vars")))
 
@@ -582,7 +595,8 @@ def export_debt_markdown(spark, d):
     return listings.debt_markdown(listings.debt_items(_debt(spark, d), NOW))
 
 
-@query(None)
+@query(f"""WITH {_DEBT}, a AS (SELECT *, CASE WHEN commit_date IS NULL OR commit_date = 0 THEN '' ELSE CASE WHEN round_even(({NOW} - commit_date) / 86400, 0)::INT = 0 THEN '' ELSE round_even(({NOW} - commit_date) / 86400, 0)::INT::VARCHAR END END AS age FROM items),
+q AS (SELECT *, CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS t FROM a) SELECT tag || ',' || t || ',' || file_path || ',' || line || ',,' || author || ',,' || age AS row FROM q""")
 def export_debt_csv(spark, d):
     return listings.debt_csv(listings.debt_items(_debt(spark, d), NOW))
 
