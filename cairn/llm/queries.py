@@ -73,8 +73,22 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 P3_SQL = "SELECT DISTINCT id FROM chunks WHERE greatest(1, length(content) // 4) > 600"
 
+P9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(ws[k:k + 11], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM w WHERE len(ws) >= 12)),
+iw AS (SELECT item_id, array_to_string(ws[k:k + 11], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS k FROM i WHERE len(ws) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
+"""
+# with few vectors every cell is asked, so the operator is exact and SQL can say the same
+P7_SQL = """
+WITH v AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS e FROM chunks WHERE embedding IS NOT NULL AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+s AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.id) AS k FROM v a JOIN v b ON a.id <> b.id)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM s WHERE k <= 5
+"""
+
 _QUERIES = {"p1_found": p1_found, "p1_repairs": p1_repairs, "p1_rates": p1_rates, "p2_found": p2_found, "p2_labels": p2_labels, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_segments": p10_segments}
-_SQL = {"p3_found": P3_SQL}
+_SQL = {"p3_found": P3_SQL, "p7_found": P7_SQL, "p9_found": P9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
