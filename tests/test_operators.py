@@ -369,3 +369,70 @@ def test_stream_takes_up_new_files_only(spark, tmp_path):
     spark.createDataFrame([("r", "a", "2", 2.0), ("r", "b", "0", 0.5)], schema).write.mode("append").parquet(src)
     assert rows(indexing.run_available(spark, src, schema, root).select("path", "hash")) == [("a", "2"), ("b", "1")]
     assert rows(indexing.run_available(spark, src, schema, root).select("path", "hash")) == [("a", "2"), ("b", "1")]
+
+
+# --- exports ---------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_endpoint_exports(spark):
+    from cairn.operators import exports
+
+    e = spark.createDataFrame([("GET", "/b", "h", "a.py", 3, "fastapi", False), ("POST", "/a", None, "b.js", 1, "express", True)], "method string, path string, handler string, file_path string, line int, framework string, partial boolean")
+    assert [r.row for r in exports.endpoint_rows(e, "csv").collect()] == ["method,path,handler,file,line,framework,partial", "POST,/a,,b.js,1,Express,yes", "GET,/b,h,a.py,3,FastAPI,"]
+    assert [r.row for r in exports.endpoint_rows(e, "markdown").collect()][4:] == ["| POST | `/a` (partial) |  | `b.js:1` | Express |", "| GET | `/b` | `h` | `a.py:3` | FastAPI |"]
+    assert '"handler":null' in exports.endpoint_rows(e, "json").first().row
+    with pytest.raises(ValueError):
+        exports.endpoint_rows(e, "xml")
+
+
+def test_duplicate_checklist_and_impact_text(spark):
+    from cairn.operators import exports
+
+    g = spark.createDataFrame([("exact", 2, 9, 1.0, 18.0, [("f", "a.py", 1, 9), ("g", "b.py", 2, 10)])], "type string, size int, duplicated_lines int, avg_similarity double, value double, members array<struct<qualified_name:string,file_path:string,start_line:int,end_line:int>>")
+    rows_ = [r.row for r in exports.duplicate_checklist(g, 0.9).collect()]
+    assert rows_ == ["# Duplicate code\n\n1 groups (similarity at least 0.90)\n", "## 1. Exact match: 2 functions, 9 duplicated lines, similarity 1.00\n- [ ] `f` in `a.py:1-9`\n- [ ] `g` in `b.py:2-10`\n"]
+    s = spark.createDataFrame([(3, 1, 2, 0, 0, 1, 2.65, "Low")], "total long, direct long, files long, low_confidence long, unresolved_same_name long, tests long, score double, level string")
+    assert exports.fallback_summary(s, "f", 3).first().text == "Changing `f` may affect 3 symbols across 2 files, 1 of them direct callers. The blast radius is Low (score 2.65). 1 affected tests would show a break."
+    assert exports.impact_facts(s, "f", "function", "a.py", 3).first().text.startswith("- The function `f` is in a.py.\n- Blast radius: Low (score 2.65).")
+
+
+def test_signatures_and_cache(spark, tmp_path):
+    import hashlib
+
+    from cairn.operators import exports
+
+    i = spark.createDataFrame([("b.py", 2, "BUG", "y"), ("a.py", 1, "TODO", "x")], "file_path string, line int, tag string, text string")
+    assert exports.items_signature(i, "e").first()[0] == hashlib.sha256(b"e\na.py:1:TODO:x\nb.py:2:BUG:y").hexdigest()
+    assert exports.parse_tags(" todo, bug,TODO ") == ["TODO", "BUG"] and exports.parse_tags("") == ["TODO", "FIXME", "HACK", "XXX", "BUG", "NOTE"]
+    assert exports.analyzer_version(["A"]) != exports.analyzer_version(["B"])
+    calls = []
+
+    def make():
+        calls.append(1)
+        return i
+
+    for _ in range(2):
+        assert exports.cached(make, str(tmp_path), "k", spark).count() == 2
+    assert len(calls) == 1
+    df, o = exports.observed(i, "progress")
+    df.write.format("noop").mode("overwrite").save()
+    assert o.get["rows"] == 2
+
+
+def test_impact_report(spark):
+    from cairn.operators import graph
+
+    s = spark.createDataFrame([(1, "f", "f", "function", None, "a.py", 1, False), (2, "g", "g", "function", None, "b.py", 1, False), (3, "t", "t", "function", None, "tests/c.py", 1, True)], "id bigint, name string, qualified_name string, kind string, owner string, file_path string, start_line int, is_test boolean")
+    r = spark.createDataFrame([(2, 1, "call", "b.py", 3, 0, "high", "f"), (3, 2, "call", "tests/c.py", 4, 0, "medium", "g"), (None, None, "call", "z.py", 1, 0, "low", "f")], "from_symbol_id bigint, to_symbol_id bigint, kind string, file_path string, line int, seq bigint, confidence string, to_name string")
+    hits, summary = graph.impact(s, r, 1)
+    assert [(h.node, h.depth) for h in hits.collect()] == [(2, 1), (3, 2)]
+    x = summary.first()
+    assert (x.total, x.direct, x.files, x.production_files, x.tests, x.score, x.level, x.unresolved_same_name, x.truncated) == (2, 1, 2, 1, 1, 1.0, "Low", 1, False)
+
+
+def test_flow_and_sequence_diagrams(spark):
+    s = spark.createDataFrame([(1, "f", "f", "function", "a.py"), (2, "g", "A.g", "method", "b.py"), (3, "A", "A", "class", "b.py")], "id bigint, name string, qualified_name string, kind string, file_path string")
+    e = edges(spark, [(1, 2, "high"), (2, 3, "low"), (3, 1, "high")])
+    text = diagrams.flow(s, e, 1)
+    assert 'n1(["A.g"])' in text and 'n2[["A"]]' in text and "n1 -.-> n2" in text
+    assert diagrams.sequence(s, e, 1).splitlines() == ["sequenceDiagram", "  participant p0 as a.py", "  participant p1 as b.py", "  p0->>p1: g()", "  p1->>p1: A()"]
