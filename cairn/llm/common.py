@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from cairn.session import spread  # noqa: F401
 
@@ -24,3 +24,12 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def thinned(df: DataFrame, key: str, rows: int, factor: int = 8) -> DataFrame:
+    """A share of the rows by hash of the key, some ``factor * rows`` of them: what a bounded sample is then drawn from.
+
+    The share comes from a count of keys, so sorting the sample never sees more than that many rows at any size."""
+    n = df.select(key).count()
+    share = min(1.0, factor * rows / max(n, 1))
+    return df if share >= 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))

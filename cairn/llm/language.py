@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairn.llm.common import spread
+from cairn.llm.common import spread, thinned
 
 #: Language codes and some function words of each.
 FUNCTION_WORDS = {
@@ -335,7 +335,7 @@ def _runs(post: np.ndarray) -> list[tuple[str, int, float]]:
 
 def fit(documents: DataFrame, train_docs: int = 4000, train_chars: int = 20_000) -> Model:
     """Train on a bounded sample of labelled documents in hash order."""
-    d = documents.select("doc_id", "text", "lang").filter(F.lower("lang").isin(LANGUAGES) & (F.length("text") <= train_chars))
+    d = thinned(documents.select("doc_id", "text", "lang"), "doc_id", train_docs).filter(F.lower("lang").isin(LANGUAGES) & (F.length("text") <= train_chars))
     rows = d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select(F.lower("lang"), "text").toArrow()
     return train(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
 
