@@ -436,3 +436,26 @@ def test_flow_and_sequence_diagrams(spark):
     text = diagrams.flow(s, e, 1)
     assert 'n1(["A.g"])' in text and 'n2[["A"]]' in text and "n1 -.-> n2" in text
     assert diagrams.sequence(s, e, 1).splitlines() == ["sequenceDiagram", "  participant p0 as a.py", "  participant p1 as b.py", "  p0->>p1: g()", "  p1->>p1: A()"]
+
+
+# --- store ------------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_store_replaces_one_repository(spark, tmp_path):
+    from cairn.operators import store
+
+    s = store.Store(spark, str(tmp_path / "store"))
+    schema = "repo_id string, path string"
+    assert s.read("files", schema).count() == 0
+    s.write("files", spark.createDataFrame([("a1", "x"), ("a1", "y"), ("b2", "z")], schema))
+    s.write("files", spark.createDataFrame([("a1", "w")], schema))
+    assert rows(s.read("files").select("repo_id", "path")) == [("a1", "w"), ("b2", "z")]
+    s.drop("b2", ["files"])
+    assert rows(s.read("files").select("repo_id", "path")) == [("a1", "w")]
+    r = store.register(spark.createDataFrame([], store.REPOS), "n", "/x", 1.0)
+    i = r.first().id
+    got = store.update_stats(r, spark.createDataFrame([(i, "a"), (i, "a"), (i, "b")], schema), spark.createDataFrame([(i, 1), (i, 2)], "repo_id string, id bigint")).first()
+    assert (got.files, got.chunks) == (2, 2) and store.listing(r).count() == 1
+    assert store.embedder().name == "hashing-256"
+    with pytest.raises(ValueError):
+        store.embedder("other")
