@@ -83,9 +83,11 @@ def impact(symbols: DataFrame, references: DataFrame, symbol_id: int, depth: int
         F.count("*").alias("total"), F.count_if(F.col("depth") == 1).alias("direct"), F.countDistinct("file_path").alias("files"),
         F.countDistinct(F.when(~F.col("is_test"), F.col("file_path"))).alias("production_files"), F.count_if(F.col("confidence") == "low").alias("low_confidence"), F.count_if("is_test").alias("tests"),
     )
-    names = symbols.filter(F.col("id") == symbol_id).select("name")
-    unresolved = references.filter(F.col("to_symbol_id").isNull()).join(F.broadcast(names), F.col("to_name") == F.col("name")).agg(F.count("*").alias("unresolved_same_name"))  # one name
-    return hits.orderBy("depth", "file_path", "start_line"), summary.crossJoin(score).crossJoin(unresolved).withColumn("truncated", F.lit(t.truncated))
+    name = symbols.filter(F.col("id") == symbol_id).select("name").first()
+    unresolved = references.filter(F.col("to_symbol_id").isNull() & (F.col("to_name") == F.lit(name[0] if name else None))).count()
+    points, level = score.first()
+    summary = summary.select("*", F.lit(points).alias("score"), F.lit(level).alias("level"), F.lit(unresolved).alias("unresolved_same_name"), F.lit(t.truncated).alias("truncated"))
+    return hits.orderBy("depth", "file_path", "start_line"), summary
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

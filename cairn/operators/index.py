@@ -48,8 +48,8 @@ def delete_files(tables: dict[str, DataFrame], gone: DataFrame, path_column: dic
 
 def stale(files: DataFrame, state: DataFrame, analyzers: list[tuple[str, int]], force: bool = False) -> DataFrame:
     """(repo_id, path, analyzer, hash, version) of what must be analysed again: no state, another hash or version."""
-    a = files.sparkSession.createDataFrame(analyzers, "analyzer string, version bigint")
-    want = files.select("repo_id", "path", "hash").dropDuplicates(["repo_id", "path"]).crossJoin(F.broadcast(a))  # a row per analyzer
+    each = F.array(*(F.struct(F.lit(a).alias("analyzer"), F.lit(v).cast("bigint").alias("version")) for a, v in analyzers))
+    want = files.select("repo_id", "path", "hash").dropDuplicates(["repo_id", "path"]).select("repo_id", "path", "hash", F.inline(each))
     return want if force else want.join(state.select("repo_id", "path", "analyzer", "hash", "version"), ["repo_id", "path", "analyzer", "hash", "version"], "left_anti")
 
 
