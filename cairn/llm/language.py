@@ -53,7 +53,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _INLINE = re.compile(r"`[^`\n]*`")
 _FENCE = re.compile(r"\s*(```|~~~)")
-_DROP = re.compile(r"`[^`\n]*`|<[^<>\n]*>|\S*(?:[_/\\@#$=]|://|\w\.\w|\d|[a-z][A-Z])\S*")
+_MARKUP = re.compile(r"`[^`\n]*`|<[^<>\n]*>")
+_NO_WORD = re.compile(r"[_/\\@#$=]|\w\.\w|\d|[a-z][A-Z]")
 _CODE = re.compile(
     r"\s*(?://|/\*|\*[\s/]|\*$|--\s|\"\"\"|'''|#\S|@\w|\$\s|>>>\s|[{}\[\]()<]|\s{4}#|[\w.]+\(.*\)[;:]?$|(?:import|package|using|namespace)\s[\w.]+;?$|import\s.*[\"';{]|from\s\S+\simport\s|export\s|const\s|let\s|var\s|func\s|def\s|class\s\w+\W|return\b.{0,60}$|(?:public|private|static)\s|(?:for|if|elif|while|with|except|try|else|class|def|async)\b.*:\s*$|(?:foreach|for|if|while|switch|catch|lock)\s*\(|raise\s+\w+\(|throw\s|(?:SELECT|INSERT|CREATE|UPDATE)\s)"
     r"|.*(?:[;{}(\[=]|=>|\):)\s*$|.*(?:\s:?=\s|==|!=|=>|->|\w\(\)|\w\[|;\s*$)|\s*\w+:\s*\S*$"
@@ -63,6 +64,11 @@ _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d|Traceback \(|File \"|a
 Line = tuple[int, list[str]]  # kind of line (0 plain, 1 code, 2 log), words
 
 
+def _words(line: str) -> list[str]:
+    """Words of a line without inline code, tags, paths, references and identifiers."""
+    return [w for t in _MARKUP.sub(" ", line).split() if not _NO_WORD.search(t) for w in _WORD.findall(t)]
+
+
 def _kind(line: str) -> int:
     return 2 if _LOG.match(line) else 1 if _CODE.match(_INLINE.sub("`", line)) else 0
 
@@ -78,7 +84,7 @@ def read_lines(text: str | None) -> list[Line]:
         if fence or not line.strip():
             continue
         kind = _kind(line)
-        ws = _WORD.findall(_DROP.sub(" ", line))
+        ws = _words(line)
         if ws:
             out.append((kind, ws))
     return out
@@ -95,7 +101,7 @@ def _sentences(text: str | None):
             continue
         kind = _kind(line)
         for s in _SENTENCE.split(line):
-            ws = _WORD.findall(_DROP.sub(" ", s))
+            ws = _words(s)
             if ws:
                 yield kind, ws
 

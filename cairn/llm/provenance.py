@@ -45,6 +45,7 @@ _VENDOR_TEXT = re.compile(r"(?i)\bvendored\b|copied (?:unchanged|verbatim|unmodi
 _NUMBERED = re.compile(r"(?m)^[^\d\n]*[A-Za-z_](\d{1,5})\b")
 _NINE = re.compile(r"9(?<=[A-Za-z_]9)\b")
 _TELLING = ("generat", "@gen", "output", "erzeugt", "do not", "automatic", "manual changes", "gegenereerd", "vendored", "copied", "bundled", "upstream", "forbidden", "(c)", "imported from", "forked from", "taken from", "sourcemappingurl")
+_LONG = re.compile(r"[\"'][A-Za-z0-9+/=\\]{40,}[\"']")
 _DATA = re.compile(r"(?:0[xX][0-9a-fA-F]+|\b\d+\b)\s*,|\"[A-Za-z0-9+/=\\x]{40,}\"\s*[,+]?|'[A-Za-z0-9+/=\\x]{40,}'\s*[,+]?")
 
 
@@ -81,7 +82,7 @@ def text_evidence(path: str, text: str | None) -> list[float]:
     if best >= 10 and best >= 0.22 * len(lines):
         gen += 9
     body = len(text) - len(lines)
-    if body > 400 and text.count(",") > 0.006 * body and sum(len(m[0]) for m in _DATA.finditer(text)) > 0.6 * sum(len(x.strip()) for x in lines):
+    if body > 400 and (sum(map(text.count, "0123456789")) > 0.2 * body or len(_LONG.findall(text)) > 4) and sum(len(m[0]) for m in _DATA.finditer(text)) > 0.6 * sum(len(x.strip()) for x in lines):
         blob += 15
     elif body > 200 and max(map(len, lines), default=0) > 250:
         dense = sum(len(x) for x in lines if len(x) > 250 and x.count(" ") < 0.12 * len(x) and sum(x.count(c) for c in ";{}(),=") > 0.08 * len(x))

@@ -14,7 +14,7 @@ Python's blocks are parsed over logical lines by their indentation; a final chec
 the standard library has one (Python, JSON), only takes back flags.
 
 Defined cases: null contents and other extensions have no row; an empty file is valid but for JSON and Go; repeated rows
-are repeated. Memory of a worker is bounded: span tables are emptied at ``MEMO`` entries.
+are repeated; a span nested thousands of levels deep without a bracket counts as valid. Memory of a worker is bounded: span tables are emptied at ``MEMO`` entries.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import warnings
 from dataclasses import dataclass, field
 
@@ -146,6 +147,7 @@ class Reducer:
     """Collapses bracket groups of one language and parses what is left; spans are remembered."""
 
     def __init__(self, s: Syntax):
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))  # a chain of a thousand else-ifs is one span
         self.s, self.lex = s, Lexer(s)
         self.most = 2  # edits up to which a span's cost is exact
         self.memo: dict[str, str] = {}

@@ -391,3 +391,21 @@ def test_label_errors(spark, language_model):
     df = spark.createDataFrame([(1, en, "en", 0), (2, en, None, 0), (3, de, "fr", 0), (4, f"{en}\n\n{de}", "en", 0), (5, None, None, 0), (6, "", "de", 0), (2, en, None, 0), (7, en, "", 0)], "doc_id bigint, text string, lang string, words int")
     assert rows(language.label_errors(df, language_model)) == [(2, "en"), (3, "de"), (4, "de"), (4, "en"), (7, "en")]
     assert language.label_errors(df.limit(0), language_model).count() == 0
+
+
+# --- very long and odd texts ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text", ["a" * 50_000, "a_" * 20_000, '"' * 20_000, "`" * 9_999, "(" * 2_000, " " * 50_000, "\n" * 50_000, "<" * 50_000, "/*" + "*" * 50_000, "a=" * 30_000, "1," * 20_000, "http://" + "a" * 50_000, "if(a){b();}" + " else if(a){b();}" * 500])
+def test_long_and_odd_texts_end_soon(text, secrets_model, language_model):
+    import time
+
+    began = time.time()
+    for lang in ("js", "ts", "py", "go", "java", "cs", "json"):
+        assert syntax.reader(lang, 1).cost(text) >= 0
+    split.split_text(text, "markdown")
+    [secrets_model.score(c, "") for c in credentials.candidates(text)]
+    language.Labeller(language_model).segments([text])
+    provenance.text_evidence("a.js", text)
+    leakage.PieceIndex([(1, ["a"] * 30)], 12, 2).search([leakage.words(text)])
+    assert time.time() - began < 30
