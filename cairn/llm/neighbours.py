@@ -126,7 +126,7 @@ def _best(lists, k: int) -> list[tuple[float, int]]:
     return out
 
 
-def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 6, margin: float = 0.07, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 16384, tile: int = 4096, hot_cells: int = 64) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 6, margin: float = 0.06, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 16384, tile: int = 4096, hot_cells: int = 64) -> DataFrame:
     """(id, neighbour_id, similarity, rank) of every usable vector of ``df`` (id, embedding)."""
     spark = df.sparkSession
     rows = usable(df, dim=dim)
