@@ -206,7 +206,11 @@ class Reducer:
         if bracket == "C":
             lists = [(k, rule) for k, rule in s.lists.items() if (bracket, k) in s.grammar.kinds]
             ok = [k for k, rule in lists if self._list(rule, body, merge=1) == 0]
-            kinds += ok or ([] if kinds else [k for k, rule in lists if self._list(rule, body) == 0])
+            if not (ok or kinds):
+                ok = [k for k, rule in lists if self._list(rule, body) == 0]
+            if "\n" in body:
+                ok += [k for k, rule in lists if k not in ok and self._whole(rule, body, False) == 0]
+            kinds += ok
         if kinds:
             return self._class(bracket, tuple(sorted(kinds)), 0)
         if BAD in flat:
@@ -267,11 +271,13 @@ class Reducer:
         return bool(got)
 
     def _list(self, rule: str, body: str, cost: bool = False, merge: int = 8) -> int:
-        """0 when every statement is one (a piece that is none alone may belong to the next few); else 1, or the least cost."""
+        """0 when every statement is one (a piece that is none alone may belong to the next few, else the whole list is read
+        at once; ``merge`` 1 looks at single pieces only); else 1, or the least cost."""
+        given = body
         if rule == "members" and "," in body and self.s.name == "ts" and ";" not in body:
             body = body.replace("\n", "").replace(",", ";")
         parts = self.split(body)
-        i, total = 0, 0
+        i = 0
         while i < len(parts):
             x, end = parts[i]
             if self._ok(rule, x, end):
@@ -283,11 +289,42 @@ class Reducer:
                     i = j + 1
                     break
             else:
-                if not cost:
-                    return 1
-                x, end = parts[i]
-                total += max(1, x.count(BAD)) if BAD in x else self._repair(rule, x, end)
-                i += 1
+                return 1 if merge == 1 else self._whole(rule, given, cost)
+        return 0
+
+    def _whole(self, rule: str, body: str, cost: bool) -> int:
+        """As ``_list``, exact: one chart over the whole list, in which a line break may end a statement or not."""
+        key = (f"whole {self.most if cost else 0} {rule}", body)
+        got = self.chunks.get(key)
+        if got is not None:
+            return got
+        g = self.s.grammar
+        keep = self.s.newline == "keep"
+        text = body.replace("\n", "") if keep else body
+        breaks = {len(text)} if self.s.newline else set()
+        if keep:
+            at = 0
+            for line in body.split("\n"):
+                at += len(line)
+                breaks.add(at)
+        breaks = frozenset(breaks)
+        total = pos = 0
+        while pos < len(text):
+            far = g.reach(rule, pos, text, breaks, rule == "members" and self.s.name == "ts")
+            if far == len(text):
+                break
+            if not cost:
+                total = 1
+                break
+            end = far + 1
+            while end < len(text) and not (text[end - 1] == ";" or end in breaks and text[end] not in self.cont or text[end - 1] in self.brace_chars and text[end] in self.cut_after):
+                end += 1
+            x = text[far:end]
+            g.end_reach()
+            total += max(1, x.count(BAD)) if BAD in x else self._repair(rule, x, end in breaks)
+            pos = end
+        g.end_reach()
+        self.chunks[key] = total
         return total
 
     def _repair(self, rule: str, x: str, open_end: bool) -> int:

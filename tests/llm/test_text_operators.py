@@ -409,3 +409,16 @@ def test_long_and_odd_texts_end_soon(text, secrets_model, language_model):
     provenance.text_evidence("a.js", text)
     leakage.PieceIndex([(1, ["a"] * 30)], 12, 2).search([leakage.words(text)])
     assert time.time() - began < 30
+
+
+def test_statements_over_many_lines_parse():
+    union = "type A =\n" + "".join(f"  | 'v{k}'\n" for k in range(12))
+    chains = ["f()\n  .then(a)\n  .catch(b)\n", "const s =\n  'a' +\n" + "  'b' +\n" * 12 + "  'c'\n", "const ok = a\n  && b\n  || c\n", "const ok = a\n  ? b\n  : c\n"]
+    for text in [union, *chains, *(f"function g() {{\n{x}const y = 1\n}}\n" for x in [union, *chains])]:
+        assert syntax.reader("ts").cost(text) == 0, text
+        assert syntax.reader("ts").cost(text + "let a b\n") > 0, text
+        if "type" not in text:
+            assert syntax.reader("js", 1).cost(text + "const z = 2\n") == 0, text
+    assert syntax.reader("ts").cost("interface A {\n  a: Map<string, number>,\n  b: string;\n  c:\n" + "    | 'x'\n" * 12 + "}\n") == 0
+    for bad in ("const x = a b\n  .then(c)\n", "if (a) {\n  f()\n    .then(b) c\n}\n", "f()\n  .then(\n", "let a = 1 let b = 2\n  && c\n"):
+        assert syntax.reader("js").cost(bad) > 0, bad
