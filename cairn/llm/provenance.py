@@ -17,6 +17,7 @@ null repositories or paths have no row; repeated rows of a file count once.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,10 @@ _GEN_TEXT = re.compile(
     r"(?i)code generated by|sourcemappingurl=|@generated\b|\bauto-?generated\b|\bautogenerated\b|<auto-generated|generated (?:from|by) \S+.*(?:do not|don't|nicht|on build|automatically)|machine output of|output of the \S+ (?:compiler|generator|tool)\b|automatically (?:created|generated|produced)|do not (?:edit|modify)(?:\s*(?:!|\.|$|by hand|manually|this file|directly))|(?:erzeugt|generiert) von .*nicht|g[ée]n[ée]r[ée] (?:par|automatiquement)|generado (?:por|autom)|gerado (?:por|autom)|generato (?:da|autom)|gegenereerd door|manual changes (?:are|will be) lost"
 )
 _VENDOR_TEXT = re.compile(r"(?i)\bvendored\b|copied (?:unchanged|verbatim|unmodified)? ?from the .*project|bundled copy|in sync with upstream|upstream fixes only|local edits forbidden|\bv\d+\.\d+(?:\.\d+)?\s*\|\s*\(c\)\s*\d{4}|(?:imported|forked|taken) from https?://")
+_BLOCK = re.compile(r"(?sm)^[ \t]*(?:/\*.*?(?:\*/|\Z)|[rRuU]?\"{3}.*?(?:\"{3}|\Z)|[rRuU]?'{3}.*?(?:'{3}|\Z))")
+_FILLED = re.compile(r"(?m)^.*\S")
+#: Log likelihood ratio of a notice of origin, and the lines of code before it up to which it counts in full.
+NOTICE, NOTICE_LINES = 6.7, 40
 _NUMBERED = re.compile(r"(?m)^[^\d\n]*[A-Za-z_](\d{1,5})\b")
 _NINE = re.compile(r"9(?<=[A-Za-z_]9)\b")
 _TELLING = ("generat", "@gen", "output", "erzeugt", "do not", "automatic", "manual changes", "gegenereerd", "vendored", "copied", "bundled", "upstream", "forbidden", "(c)", "imported from", "forked from", "taken from", "sourcemappingurl")
@@ -49,6 +54,13 @@ _LONG = re.compile(r"[\"'][A-Za-z0-9+/=\\]{40,}[\"']")
 _DATA = re.compile(r"(?:0[xX][0-9a-fA-F]+|\b\d+\b)\s*,|\"[A-Za-z0-9+/=\\x]{40,}\"\s*[,+]?|'[A-Za-z0-9+/=\\x]{40,}'\s*[,+]?")
 
 
+def _code_lines(text: str) -> list[int]:
+    """Where the lines begin that hold more than comments."""
+    for rx in (_BLOCK, _COMMENT):
+        text = rx.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    return [m.start() for m in _FILLED.finditer(text)]
+
+
 def text_evidence(path: str, text: str | None) -> list[float]:
     """Log likelihood ratios of the name and the text of a file; a plain text speaks against all but handwritten, least so
     against a copy."""
@@ -62,12 +74,14 @@ def text_evidence(path: str, text: str | None) -> list[float]:
         return [hand, gen, mini, vend, blob]
     low = text.lower()
     if any(k in low for k in _TELLING):
-        for k, m in enumerate(_COMMENT.finditer(text)):
+        code: list[int] | None = None
+        for m in _COMMENT.finditer(text):
             line = m[1]
             if _GEN_TEXT.search(line):
                 gen += 9
-            if k < 12 and m.start() < 1500 and _VENDOR_TEXT.search(line):
-                vend += 6.7
+            if _VENDOR_TEXT.search(line):  # the more code stands before it, the less it speaks of the file as a whole
+                code = _code_lines(text) if code is None else code
+                vend += NOTICE * min(1.0, NOTICE_LINES / max(1, bisect_left(code, m.start())))
     run = best = 0
     last = -1
     for x in map(int, _NUMBERED.findall(text) if _NINE.search(text) else ()):  # members numbered 0, 1, 2, ... one after the other

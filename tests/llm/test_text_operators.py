@@ -434,3 +434,14 @@ def test_credentials_without_hint_or_bound(spark, secrets_model):
     chunks = spark.createDataFrame([(k, "a.py", t) for k, t in enumerate(texts_)], "id bigint, file_path string, content string")
     env = spark.createDataFrame([], "id bigint, name string, file_path string, default_value string")
     assert {r.id: r.redacted for r in credentials.scan(chunks, env, secrets_model).collect()} == dict(enumerate(whole))
+
+
+def test_notices_of_origin_count_after_long_headers(spark):
+    licence = "".join(f"// line {k} of a licence, which goes on about warranties, liabilities and the conditions of use and distribution\n" for k in range(30))
+    code = "function f(a) {\n  return a + 1;\n}\n"
+    notice = "// Vendored from https://example.org/lib, keep in sync with upstream.\n"
+    doc = '"""Module.\n\n' + "Long words about what this module is for, and how it is to be used by others.\n" * 60 + '"""\n'
+    files = {"a.js": licence + notice + code, "b.js": licence + code, "c.py": doc + notice.replace("//", "#") + "x = 1\n" * 9, "d.js": code * 300 + "// the vendored copy is read here\n" + code}
+    f = spark.createDataFrame([(p, p) for p in files], "repo_id string, path string")
+    raw = spark.createDataFrame([(p, p, t) for p, t in files.items()], "repo_id string, path string, content string")
+    assert rows(provenance.not_handwritten(f, raw).select("path")) == [("a.js",), ("c.py",)]
