@@ -1,7 +1,6 @@
 """Clones and clusters: exact groups, similar pairs, complete linkage, topic clustering.
 
-``similar_pairs`` multiplies blocks of rows with all rows: its input is the ``max_rows`` widest functions (the report's
-cap), so the matrix that every task gets has a proven size. Linkage works component by component; a complete-linkage
+``similar_pairs`` multiplies blocks of rows with each other, so every task gets a bounded number of rows. Linkage works component by component; a complete-linkage
 group never leaves its component.
 """
 
@@ -47,39 +46,36 @@ def exact_groups(symbols: DataFrame, max_size: int = K.MAX_GROUP) -> DataFrame:
     return group_metrics(g)
 
 
-def similar_pairs(vectors: DataFrame, floor: float = K.PAIR_FLOOR, max_rows: int = 20_000, max_pairs: int = 100_000, block: int = 512) -> DataFrame:
+def similar_pairs(vectors: DataFrame, floor: float = K.PAIR_FLOOR, block: int = 8192) -> DataFrame:
     """(a, b, sim) with a < b of (id, vector, file_path, start_line, end_line, span): cosines of ``floor`` or more.
 
-    Pairs overlapping in one file do not count; of more than ``max_pairs`` the most similar stay."""
-    v = vectors.filter(F.col("vector").isNotNull()).orderBy(F.desc("span"), "id").limit(max_rows)
-    t = v.select("id", T.l2_normalise(F.col("vector")).alias("vector"), "file_path", "start_line", "end_line").orderBy("id").toArrow()
-    spark = vectors.sparkSession
-    schema = "a bigint, b bigint, sim double"
-    if t.num_rows < 2:
-        return spark.createDataFrame([], schema)
-    ids = np.asarray(t.column(0))
-    x = np.asarray(t.column(1).combine_chunks().flatten()).reshape(t.num_rows, -1)
-    files, starts, ends = t.column(2).to_pylist(), np.asarray(t.column(3)), np.asarray(t.column(4))
-    shared = spark.sparkContext.broadcast((ids, x, np.unique(files, return_inverse=True)[1], starts, ends))
-    n = len(ids)
-
-    def run(batches):
-        ids, x, files, starts, ends = shared.value
-        for b in batches:
-            for i in b.column(0).to_pylist():
-                lo, hi = i * block, min(n, (i + 1) * block)
-                s = x[lo:hi] @ x[lo:].T
-                r, c = np.nonzero(s >= floor - 1e-9)
-                keep = c > r
-                r, c = r[keep], c[keep]
-                sim = np.round(s[r, c], 4)
-                p, q = r + lo, c + lo
-                apart = ~((files[p] == files[q]) & (starts[p] <= ends[q]) & (starts[q] <= ends[p])) & (sim >= floor)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[p][apart]), pa.array(ids[q][apart]), pa.array(sim[apart])], ["a", "b", "sim"])
-
-    blocks = -(-n // block)
-    pairs = spark.range(0, blocks, 1, min(blocks, 64)).mapInArrow(run, schema)
-    return pairs.orderBy(F.desc("sim"), "a", "b").limit(max_pairs)
+    Pairs overlapping in one file do not count. Every row meets every other: a task multiplies two blocks of about ``block``
+    rows, whatever the number of rows."""
+    v = vectors.filter(F.col("vector").isNotNull()).select("id", T.l2_normalise(F.col("vector")).alias("vector"), F.xxhash64("file_path").alias("file"), "start_line", "end_line")
+    blocks = max(1, -(-v.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = v.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        ids, files, starts, ends, own = (t.column(k).to_numpy() for k in ("id", "file", "start_line", "end_line", "own"))
+        x = np.stack(t.column("vector").to_numpy())
+        out = [[], [], []]
+        two = t.column("p")[0] != t.column("q")[0]
+        for lo in range(0, len(ids), 512):
+            sim = x[lo : lo + 512] @ x[lo:].T
+            r, c = np.nonzero(sim >= floor - 1e-9)
+            s = np.round(sim[r, c], 4)
+            r, c = r + lo, c + lo
+            good = (c > r) & (s >= floor) & ~((files[r] == files[c]) & (starts[r] <= ends[c]) & (starts[c] <= ends[r]))
+            if two:  # pairs within a block come from the block alone
+                good &= own[r] != own[c]
+            for k, y in enumerate((ids[r], ids[c], s)):
+                out[k].append(y[good])
+        return pa.table({n: np.concatenate(y) for n, y in zip(("a", "b", "sim"), out)})
+
+    return met.groupBy("p", "q").applyInArrow(run, "a bigint, b bigint, sim double")
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -459,3 +460,15 @@ def test_store_replaces_one_repository(spark, tmp_path):
     assert store.embedder().name == "hashing-256"
     with pytest.raises(ValueError):
         store.embedder("other")
+
+
+def test_similar_pairs_cover_all_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    x[30:] = x[:30] + 0.01
+    v = spark.createDataFrame([(k, x[k].tolist(), f"f{k % 7}", k, k + 1, 1) for k in range(60)], "id bigint, vector array<double>, file_path string, start_line int, end_line int, span int")
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if round(float(n[a] @ n[b]), 4) >= 0.8 and not (a % 7 == b % 7 and b <= a + 1)}
+    for block in (7, 1000):
+        got = [(r.a, r.b) for r in clones.similar_pairs(v, 0.8, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
