@@ -37,7 +37,7 @@ class Syntax:
         ops = self.operators.split()
         for k, w in enumerate([*words, *ops]):
             self.spelling[w] = chr(_BASE + k)
-        sp = dict(self.spelling) | {c: c for c in "+-*/%<>=!&|^~?:;,.@#$i0s_\\`"}
+        sp = self.spelling | {c: c for c in "+-*/%<>=!&|^~?:;,.@#$i0s_\\`"}
         soft = {sp[w] for w in self.contextual.split()}
         hard = {sp[w] for w in self.keywords.split()}
         sets = {"id": {"i", *soft}, "num": {"0"}, "str": {"s"}, "name": {"i", *soft, *hard}}
@@ -49,35 +49,42 @@ class Syntax:
         return self
 
 
+_JS_STMT = """STMTs = STMT+
+STMT = BLOCK | vardecl ';' | !nostart expr ';' | ';' | 'if' P.expr STMT ('else' STMT)? | 'for' 'await'? P.for STMT | 'while' P.expr STMT
+  | 'do' STMT 'while' P.expr ';'? | 'switch' P.expr BLOCK | 'throw' expr ';' | 'try' BLOCK ('catch' P.params? BLOCK ('finally' BLOCK)? | 'finally' BLOCK) RETURN
+  | 'break' id? ';' | 'continue' id? ';' | named | id ':' STMT | 'case' expr ':' | 'default' ':' | 'debugger' ';' TSTMT
+"""
+#: A statement outside functions knows no return; blocks are read in both ways.
+_JS_STATEMENTS = _JS_STMT.replace("TSTMT", "T#").replace("STMT", "stmt").replace("T#", "TSTMT").replace("BLOCK", "C.block").replace("RETURN", "") + _JS_STMT.replace("TSTMT", "T#").replace("STMT", "fstmt").replace("T#", "TSTMT").replace("BLOCK", "C.fblock").replace("RETURN", "| 'return' expr? ';'")
 _JS_RULES = """
+set nostart: function class
+set none:
 set uop: ! ~ + - ++ -- typeof void delete await
 set bop: + - * / % ** == != === !== < > <= >= << & | ^ && || ?? in instanceof
-set aop: = += -= *= /= %= **= <<= >>= &= |= ^= &&= ||= ??=
+set aop: = += -= *= /= %= **= <<= &= |= ^= &&= ||= ??=
+set gt: > >|
 set lit: null true false this super
 set decl: var let const
 expr = assign (',' assign)*
-assign = arrow | 'yield' '*'? assign? | cond (aop assign)?
-arrow = 'async'? ARROWHEAD '=>' (C.block | assign)
-cond = bin ('?' assign ':' assign)?
-bin = unary (bop '>'? '>'? unary)* BINTAIL
+assign = arrow | gen | cond ((aop | SHIFTSET) cond)* ((aop | SHIFTSET) (arrow | gen))?
+gen = 'yield' '*'? assign?
+arrow = 'async'? ARROWHEAD '=>' (C.fblock | !none assign)
+cond = bin ('?' assign ':' bin)* ('?' assign ':' (arrow | gen))?
+bin = unary ((bop | SHIFT) unary)* BINTAIL
 unary = uop* UPRE postfix ('++' | '--')?
 postfix = 'new'* primary tail* ('new' '.' name tail*)?
 tail = '.' name | '?.' (name | P.args | B.arr) | P.args | B.arr | str TAIL
 primary = id | num | str | lit | P.expr | B.arr | C.obj | function | class | 'import' (P.args | '.' name) | 'new' '.' name
-function = 'async'? 'function' '*'? id? TP P.params RT C.block
+function = 'async'? 'function' '*'? id? TP P.params RT C.fblock
+named = 'async'? 'function' '*'? id TP P.params RT C.fblock | DECO ABS 'class' id TP ('extends' postfix)? IMPL C.members
 class = DECO ABS 'class' id? TP ('extends' postfix)? IMPL C.members
 vardecl = decl bind (',' bind)*
 bind = (id | B.arr | C.obj) BT ('=' assign)?
-stmts = stmt+
-stmt = C.block | vardecl ';' | expr ';' | ';' | 'if' P.expr stmt ('else' stmt)? | 'for' 'await'? P.for stmt | 'while' P.expr stmt
-  | 'do' stmt 'while' P.expr ';'? | 'switch' P.expr C.block | 'return' expr? ';' | 'throw' expr ';'
-  | 'try' C.block ('catch' P.params? C.block (‹› 'finally' C.block)? | 'finally' C.block) | 'break' id? ';' | 'continue' id? ';'
-  | function | class | id ':' stmt | 'case' expr ':' | 'default' ':' | 'debugger' ';' | 'with' P.expr stmt TSTMT
-tops = top+
+STATEMENTStops = top+
 top = stmt | import | export
 import = 'import' TY (str | clause 'from' str) ('with' C.obj)? ';'
 clause = id (',' (C.specs | '*' 'as' id))? | C.specs | '*' 'as' id
-export = 'export' ('default' (function | class | assign ';') | vardecl ';' | function | class | TY C.specs ('from' str)? ';' | '*' ('as' name)? 'from' str ';' TEXP)
+export = 'export' ('default' (function | class | assign ';') | vardecl ';' | named | TY C.specs ('from' str)? ';' | '*' ('as' name)? 'from' str ';' TEXP)
 args = (arg (',' arg)* ','?)?
 arg = '...'? assign
 arr = (arg? (',' arg?)*)?
@@ -85,13 +92,13 @@ params = (param (',' param)* ','?)?
 param = DECO MODS '...'? (id | B.arr | C.obj | THIS) OPT BT ('=' assign)?
 for = (vardecl | expr)? ';' expr? ';' expr? | decl? (id | B.arr | C.obj | postfix) ('of' | 'in') expr
 obj = (prop (',' prop)* ','?)?
-prop = '...' assign | pname ':' assign | name ('=' assign)? | pmod* pname TP P.params RT C.block
+prop = '...' assign | pname ':' assign | name ('=' assign)? | pmod* pname TP P.params RT C.fblock
 set pmod: async get set * static
 pname = name | str | num | B.arr
 specs = (spec (',' spec)* ','?)?
 spec = TY (name | str) ('as' (name | str))?
 members = member+
-member = ';' | DECO mod* pname TP P.params RT (C.block MBODY) | DECO mod* pname MOPT BT ('=' assign)? ';' | 'static' C.block MEMB
+member = ';' | DECO mod* pname TP P.params RT (C.fblock MBODY) | DECO mod* pname MOPT BT ('=' assign)? ';' | 'static' C.block MEMB
 """
 
 _JS_FILL = {"ARROWHEAD": "(id | P.params)", "BINTAIL": "", "UPRE": "", " TAIL": "", "TP ": "", "RT ": "", "DECO ": "", "ABS ": "", "IMPL ": "", "BT ": "", " TSTMT": "", "TY ": "", " TEXP": "", "MODS ": "", " | THIS": "", "OPT ": "", "MBODY": "", "MOPT ": "", " MEMB": "", "(‹› ": "("}
@@ -99,7 +106,7 @@ _JS_FILL_ORDER = ["ARROWHEAD", "BINTAIL", "UPRE", " TAIL", " TSTMT", " TEXP", "
 _TS_FILL = _JS_FILL | {
     "ARROWHEAD": "(id | tparams? P.params (':' type)?)",
     "BINTAIL": "",
-    "UPRE": "('<' type '>')?",
+    "UPRE": "('<' type gt)?",
     " TAIL": " | '!' | targs P.args | ('as' | 'satisfies') (type | 'const')",
     "TP ": "tparams? ",
     "RT ": "(':' type)? ",
@@ -124,8 +131,8 @@ set tname: null true false this void const undefined
 type = '|'? inter (('|' | '&') inter)* ('extends' type '?' type ':' type)?
 inter = tpre* tprim B.types* ('is' type)?
 tprim = (id | tname) ('.' name)* targs? | str | '-'? num | C.tlit | P.type | 'abstract'? 'new'? tparams? P.params '=>' type | B.types | 'import' P.args ('.' name)* targs? | 'asserts' (id | 'this') ('is' type)?
-targs = '<' type (',' type)* ','? '>'
-tparams = '<' tparam (',' tparam)* ','? '>'
+targs = '<' type (',' type)* ','? gt
+tparams = '<' tparam (',' tparam)* ','? gt
 tparam = ('const' | 'in' | 'out')* id ('extends' type)? ('=' type)?
 types = (telem (',' telem)* ','?)?
 telem = '...'? (id '?'? ':')? type '?'? | id 'in' type ('as' type)?
@@ -135,6 +142,7 @@ tdecl = 'declare'? ('type' id tparams? '=' type ';' | 'interface' id tparams? ('
 
 
 def _fill(rules: str, fill: dict[str, str]) -> str:
+    rules = rules.replace("STATEMENTS", _JS_STATEMENTS).replace("SHIFTSET", "'>|' '>|'? '>='").replace("SHIFT", "'>|' '>|'? '>'")
     for k in _JS_FILL_ORDER:
         rules = rules.replace(k, fill[k])
     return rules
@@ -142,20 +150,20 @@ def _fill(rules: str, fill: dict[str, str]) -> str:
 
 _JS_KW = "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum"
 _JS_SOFT = "let static async await of from as get set yield"
-_JS_OPS = "=== !== == != <= << && || ?? ?. => ... ** ++ -- += -= *= /= %= **= <<= >>= &= |= ^= &&= ||= ??= >="
+_JS_OPS = ">| === !== == != <= << && || ?? ?. => ... ** ++ -- += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= >="
 
 JS = Syntax(
     "js", _JS_KW, _JS_SOFT, _JS_OPS,
     _fill(_JS_RULES, _JS_FILL) + "set mod: static async get set *\n",
     {"P": ["expr", "args", "params", "for"], "B": ["arr"], "C": ["obj", "specs"]},
-    {"block": "stmts", "members": "members"}, "tops",
+    {"fblock": "fstmts", "block": "stmts", "members": "members"}, "tops",
     continues="else catch finally from as in instanceof extends of", newline="keep",
 )
 TS = Syntax(
     "ts", _JS_KW, _JS_SOFT + " type interface namespace module declare abstract readonly public private protected implements keyof infer is satisfies override asserts unique undefined global out", _JS_OPS,
     _fill(_JS_RULES, _TS_FILL) + _TS_RULES + "set mod: static async get set * public private protected readonly override abstract declare\n",
     {"P": ["expr", "args", "params", "for", "type"], "B": ["arr", "types"], "C": ["obj", "specs"]},
-    {"block": "stmts", "members": "members", "tlit": "members", "top": "tops"}, "tops",
+    {"fblock": "fstmts", "block": "stmts", "members": "members", "tlit": "members", "top": "tops"}, "tops",
     continues="else catch finally from as in instanceof extends of implements satisfies is", newline="keep",
 )
 
@@ -163,27 +171,29 @@ JAVA = Syntax(
     "java",
     "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while null true false",
     "var record sealed permits yield non when",
-    "== != <= && || -> :: ... ++ -- += -= *= /= %= &= |= ^= << <<= >>= >=",
+    ">| == != <= && || -> :: ... ++ -- += -= *= /= %= &= |= ^= << <<= >=",
     """
 set prim: boolean byte char double float int long short
 set lit: null true false this super
 set pmod: abstract final native private protected public static strictfp synchronized transient volatile default sealed
 set uop: ! ~ + - ++ --
 set bop: + - * / % == != < > <= >= && || & | ^ <<
-set aop: = += -= *= /= %= &= |= ^= <<= >>=
+set aop: = += -= *= /= %= &= |= ^= <<=
+set gt: > >|
 mods = (pmod | anno | 'non' '-' 'sealed')*
 anno = '@' id ('.' id)* P.annoargs?
 qual = id ('.' id)*
 ctype = anno* id targs? ('.' anno* id targs?)*
 type = (ctype | prim) (B.empty)*
-targs = '<' (targ (',' targ)*)? '>'
+targs = '<' (targ (',' targ)*)? gt
 targ = type | '?' (('extends' | 'super') type)?
-tparams = '<' tparam (',' tparam)* '>'
+tparams = '<' tparam (',' tparam)* gt
 tparam = anno* id ('extends' type ('&' type)*)?
-expr = lambda | cond (aop expr)?
+expr = lambda | cond (store cond)* (store lambda)?
+store = aop | '>|' '>|'? '>='
 lambda = (id | P.lparams) '->' (C.block | expr)
-cond = bin ('?' expr ':' (lambda | cond))?
-bin = unary (bop '>'? '>'? unary | 'instanceof' 'final'? (type id? | type P.patterns))*
+cond = bin ('?' expr ':' bin)* ('?' expr ':' lambda)?
+bin = unary ((bop | '>|' '>|'? '>') unary | 'instanceof' 'final'? (type id? | type P.patterns))*
 unary = uop* (P.type (unary1 | lambda) | postfix) ('++' | '--')*
 unary1 = ('!' | '~')* (P.type unary1 | postfix)
 postfix = primary tail*
@@ -231,22 +241,25 @@ CS = Syntax(
     "cs",
     "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while",
     "var async await get set init add remove where when yield record partial required global file from select let orderby ascending descending group by join on equals into nameof with not and or dynamic scoped alias",
-    "== != <= && || => ?? ??= ?. :: ++ -- += -= *= /= %= &= |= ^= << <<= >= .. ->",
+    ">| == != <= && || => ?? ??= ?. :: ++ -- += -= *= /= %= &= |= ^= << <<= >= .. ->",
     """
 set prim: bool byte char decimal double float int long object sbyte short string uint ulong ushort dynamic
 set lit: null true false this base
 set pmod: public private protected internal static readonly sealed abstract virtual override async extern unsafe volatile new partial required const file ref
 set uop: ! ~ + - ++ -- & * await ^ ..
 set bop: + - * / % == != < > <= >= && || & | ^ << ??
-set aop: = += -= *= /= %= &= |= ^= <<= ??= >=
+set aop: = += -= *= /= %= &= |= ^= <<= ??=
+set gt: > >|
 attrs = B.attrs*
 mods = attrs pmod*
 type = 'ref'? ((id | 'global' '::' id) targs? ('.' id targs?)* | prim | 'void' '*' | P.tuple) ('?' | '*' | B.dims)*
-targs = '<' (attrs ('in' | 'out')? type (',' attrs ('in' | 'out')? type)*)? ','* '>'
-expr = lambda | 'throw' expr | cond (aop expr | '>' '>=' expr)? | query
+targs = '<' (attrs ('in' | 'out')? type (',' attrs ('in' | 'out')? type)*)? ','* gt
+expr = low | cond (store cond)* (store low)?
+low = lambda | 'throw' expr | query
+store = aop | '>|' '>|'? '>='
 lambda = attrs ('async' | 'static')* (id | P.lparams | type P.lparams) '=>' (C.block | expr) | 'async'? 'delegate' P.params? C.block
 cond = bin ('?' ('ref'? expr) ':' ('ref'? expr))?
-bin = unary (bop '>'? '>'? (unary | 'throw' expr) | 'is' pattern | 'as' type | 'switch' C.arms | 'with' C.obj | '..' unary?)*
+bin = unary ((bop | '>|' '>|'? '>') (unary | 'throw' expr) | 'is' pattern | 'as' type | 'switch' C.arms | 'with' C.obj | '..' unary?)*
 pattern = pprim (('and' | 'or') pprim)*
 pprim = 'not'* (relop? unary | type id? | type? P.patterns? C.pats id? | type P.patterns id? | 'var' (id | P.lparams) | P.pattern | B.listpat id?)
 relop = '<' | '>' | '<=' | '>='
@@ -265,14 +278,14 @@ stmt = C.block | local ';' | expr ';' | ';' | 'if' P.expr stmt ('else' stmt)? |
 lfunc = attrs ('static' | 'async' | 'unsafe' | 'extern')* (type | 'void') id tparams? P.params where* (C.block | '=>' expr ';')
 local = ('const' | 'ref' 'readonly'? | 'scoped')? (type | 'var') var (',' var)* | 'var' P.lparams '=' expr
 var = id B.args? ('=' ('ref'? expr | C.arr))?
-tparams = '<' attrs ('in' | 'out')? id (',' attrs ('in' | 'out')? id)* '>'
+tparams = '<' attrs ('in' | 'out')? id (',' attrs ('in' | 'out')? id)* gt
 where = 'where' id ':' wcon (',' wcon)*
 wcon = type | 'class' '?'? | 'struct' | 'new' P.args | 'default'
 typedecl = mods (('class' | 'struct' | 'interface' | 'record' ('class' | 'struct')?) id tparams? P.params? (':' type P.args? (',' type)*)? where* (C.members ';'? | ';') | 'enum' id (':' type)? C.enum ';'? | 'delegate' (type | 'void') id tparams? P.params where* ';')
 members = member+
 member = ';' | typedecl | mods (type | 'void') (type '.')? id tparams? P.params where* (C.block | '=>' expr ';' | ';') | mods 'event'? type (var (',' var)* ';' | (type '.')? id (C.accs ('=' expr ';')? | '=>' expr ';')) | mods id P.params (':' ('base' | 'this') P.args)? (C.block | '=>' expr ';') | '~' id P.params C.block
   | mods type (type '.')? 'this' B.params (C.accs | '=>' expr ';') | mods ('implicit' | 'explicit')? type? 'operator' (type | opname | 'true' | 'false') P.params (C.block | '=>' expr ';')
-opname = bop | '>' '>' | uop | '>=' | '<='
+opname = bop | '>|' '>|'? '>' | uop
 accs = acc*
 acc = attrs ('public' | 'private' | 'protected' | 'internal' | 'readonly')* ('get' | 'set' | 'init' | 'add' | 'remove') (';' | C.block | '=>' expr ';')
 tops = top+
@@ -385,7 +398,7 @@ PY = Syntax(
 set bop: + - * / % ** // << >> & | ^ @ == != < > <= >= in is and or
 set lit: None True False ...
 set aop: += -= *= /= //= %= @= &= |= ^= >>= <<= **=
-expr = lambda | or ('if' or 'else' expr)?
+expr = lambda | or ('if' or 'else' or)* ('if' or 'else' lambda)?
 or = not (bop 'not'? not)*
 not = ('not' | '-' | '+' | '~' | 'await')* postfix
 bin = 'not'* not

@@ -109,7 +109,7 @@ def _work(b: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for path, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
         lang = EXTENSIONS[path.rsplit(".", 1)[1].lower()]
-        parses = text is None or reader(lang, 1).cost(text) == 0 or not confirmed(lang, text)
+        parses = text is None or reader(lang).parses(text) or not confirmed(lang, text)
         rows.append((parses, *text_evidence(path, text)))
     cols = list(zip(*rows)) or [()] * 6
     kinds = [pa.bool_(), *[pa.float64()] * 5]

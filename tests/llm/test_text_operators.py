@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -237,8 +238,62 @@ def test_causes_and_lines():
 
 def test_repair_is_minimal_on_small_strings():
     g = chart.Grammar("e = t ('+' t)*\nt = id | P.e", {"+": "+"}, {"id": {"i"}})
-    assert g.repair("e", "i+i") == 0
-    assert g.repair("e", "i+") == 1 and g.repair("e", "ii") == 1 and g.repair("e", "+i+") == 2
+    assert g.repair("e", "i+i") == (0, []) and g.repair("e", "i+i++i+i") == (1, [4]) and g.repair("e", "+i+") == (2, [0, 3])
+    for n in range(1, 6):
+        for x in map("".join, itertools.product("i+", repeat=n)):
+            near, least = {x}, 0
+            while least < 4 and not any(g.accepts("e", y) for y in near):
+                near |= {z for y in near for k in range(len(y) + 1) for z in [y[:k] + y[k + 1 :], *(y[:k] + t + y[k + d :] for t in "i+" for d in (0, 1))]}
+                least += 1
+            cost, at = g.repair("e", x)
+            assert cost == len(at) and (cost == least or least > 3 and cost >= least), x
+
+
+@pytest.mark.parametrize("n", [10, 30, 120, 300])
+def test_one_error_costs_one_edit_at_any_length(n):
+    args = [f"a{k}" for k in range(n)]
+    args[n // 2] += " b"
+    for lang, text in {"java": "class A {\n  void f() {\n    int x = 1;\n    g(%s);\n    h();\n  }\n}\n", "js": "f(1);\nf(2);\nf(3);\ng(%s);\n", "py": "f(1)\nf(2)\nif x:\n    g(%s)\n"}.items():
+        rep = syntax.examine(lang, text % ", ".join(args))
+        assert (rep.cost, rep.lines) == (1, [4]), (lang, rep)
+
+
+_BODIES = {
+    "java": "class A {\n    int a;\n    void f() {\n        g(1);\n        int x = y;\n        h(x, y);\n    }\n    void k() {\n        z();\n    }\n}\n",
+    "js": "import a from 'b';\nfunction f(x) {\n  const y = x;\n  g(y, 2);\n  return y;\n}\nexport function k() {\n  return 1;\n}\n",
+    "go": "package a\n\nfunc f(x int) int {\n\ty := x\n\tg(y, 2)\n\treturn y\n}\n\nfunc k() {\n\tz(1)\n}\n",
+    "py": "def f(x):\n    y = x\n    g(y, 2)\n    return y\n\n\ndef k():\n    return 1\n",
+    "cs": "class A {\n    int a;\n    void F() {\n        G(1);\n        int x = y;\n        H(x, y);\n    }\n}\n",
+}
+
+
+@pytest.mark.parametrize("lang", _BODIES)
+def test_edits_stand_on_the_damaged_lines(lang):
+    lines = _BODIES[lang].split("\n")
+    assert syntax.reader(lang).parses(_BODIES[lang])
+    damage = [("(", "( ,"), ("=", "= ="), ("{", ""), ("}", ""), ("(", " ")]
+    one = {i: {x.replace(a, b, 1) for a, b in damage} - {x} for i, x in enumerate(lines)}
+    for i, variants in one.items():
+        for new in variants:
+            rep = syntax.examine(lang, "\n".join(lines[:i] + [new] + lines[i + 1 :]))
+            assert rep and rep.cost == 1 and abs(rep.lines[0] - i - 1) <= (2 if "}" in lines[i] else 0), (i + 1, new, rep)
+    for i, j in itertools.combinations([i for i, x in enumerate(lines) if "=" in x or "(" in x], 2):
+        two = [x.replace("=", "= =").replace("(", "( ,") if k in (i, j) else x for k, x in enumerate(lines)]
+        rep = syntax.examine(lang, "\n".join(two))
+        assert rep.lines == [i + 1, j + 1] and rep.cause != "conflict", rep
+
+
+def test_what_is_no_token_or_no_statement():
+    for lang, text in {"py": "b = = 2\n", "js": "b = = 2;\n", "ts": "b = = 2;\n", "java": "class A { void f() { b = = 2; } }\n", "go": "package a\nfunc f() { b = = 2 }\n", "cs": "class A { void F() { b = = 2; } }\n", "json": '{"a": : 2}'}.items():
+        assert syntax.examine(lang, text).cost == 1
+    for lang in ("js", "ts"):
+        for text in ('{"a": 1}', '{"a": 1, "b": [1, 2]}', "return 1\n", "if (x) { return 1 }\n", "x = 08\n", "a > > b\n", "const f = () => {'a': 1}\n"):
+            assert not syntax.reader(lang).parses(text), text
+        for text in ("f(() => { return {a: 1} })\nexport default {a: 1};\n", "x >>= 2; y = a >>> 3 >> 1;\n", "const g = s => /x+/.test(s) && /y[/]/.test(s);\n", "1..toFixed(); x = 0x1f + 1_000n + .5e3;\n", "class B { m() { if (a) { return 2 } } static { x = 1 } }\n"):
+            assert syntax.reader(lang).parses(text), text
+    assert syntax.reader("ts").parses("let x: Map<string, Array<Map<a, b>>> = f(a >> 2);\n")
+    assert not syntax.reader("py").parses("x = 08\n") and syntax.reader("py").parses("x = 0x1f + 1_0.e3 + 0_0 + 1j + 08.5\n")
+    assert not syntax.reader("java").parses("class A { int x = 08; }") and syntax.reader("cs").parses("class A { int x = 08; }")
 
 
 def test_grammars_build():
@@ -402,13 +457,13 @@ def test_long_and_odd_texts_end_soon(text, secrets_model, language_model):
 
     began = time.time()
     for lang in ("js", "ts", "py", "go", "java", "cs", "json"):
-        assert syntax.reader(lang, 1).cost(text) >= 0
+        syntax.reader(lang).parses(text)
     split.split_text(text, "markdown")
     [secrets_model.score(c, "") for c in credentials.candidates(text)]
     language.Labeller(language_model).segments([text])
     provenance.text_evidence("a.js", text)
     leakage.PieceIndex([(1, ["a"] * 30)], 12, 2).search([leakage.words(text)])
-    assert time.time() - began < 30
+    assert time.time() - began < 60
 
 
 def test_statements_over_many_lines_parse():
@@ -418,7 +473,7 @@ def test_statements_over_many_lines_parse():
         assert syntax.reader("ts").cost(text) == 0, text
         assert syntax.reader("ts").cost(text + "let a b\n") > 0, text
         if "type" not in text:
-            assert syntax.reader("js", 1).cost(text + "const z = 2\n") == 0, text
+            assert syntax.reader("js").cost(text + "const z = 2\n") == 0, text
     assert syntax.reader("ts").cost("interface A {\n  a: Map<string, number>,\n  b: string;\n  c:\n" + "    | 'x'\n" * 12 + "}\n") == 0
     for bad in ("const x = a b\n  .then(c)\n", "if (a) {\n  f()\n    .then(b) c\n}\n", "f()\n  .then(\n", "let a = 1 let b = 2\n  && c\n"):
         assert syntax.reader("js").cost(bad) > 0, bad
