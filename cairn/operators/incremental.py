@@ -3,8 +3,12 @@
 A log is split into ``streams``; within a stream every record has a sequence number. The ledger keeps what was processed
 as disjoint closed intervals per stream, never as single numbers. A run subtracts them from the ranges that are
 available, takes up exactly the gaps that remain (late records lie in gaps below the highest number and are found the
-same way), and commits the merged intervals together with the output: one rename of a small manifest file makes both
-visible, so a run that dies before it leaves nothing behind and the next run takes the same gaps again.
+same way), and commits the merged intervals together with the output: one small manifest file, which can only be created
+once, makes both visible, so a run that dies before it leaves nothing behind and the next run takes the same gaps again.
+
+``FileIndex`` keeps the files of an indexer that way. A file's state gets its number once, when it is first seen to be the
+newest one, and the number is stored; source files that were read before are not read again. No clock takes part: a state
+that arrives late, or a run that failed or was never noted down, changes nothing but the gaps.
 
 Defined cases: an empty ledger leaves everything to do, an empty input leaves nothing; rows with a null stream, bound or
 an inverted range count as no range; overlapping, touching and repeated ranges merge; extra columns are ignored.
@@ -19,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from cairn.session import cut
+from cairn.session import ensure_checkpoint_dir
 
 RANGE = "stream string, lo bigint, hi bigint"
 
@@ -76,28 +80,64 @@ def number_records(df: DataFrame, key: list[str], buckets: int = 256) -> DataFra
     return d.withColumn("seq", F.row_number().over(W.partitionBy("stream").orderBy(*key)).cast("bigint"))
 
 
-class IntervalLedger:
-    """Processed intervals and outputs in one folder; a version file, renamed into place, commits both.
+class Versions:
+    """Numbered JSON files in a folder, each created once and never changed.
 
-    ``run`` plans the gaps, hands the records in them to ``work`` and commits. Outputs of runs that did not commit are
-    never listed. Two runs at once: the rename of the second one's version fails and its output stays uncommitted."""
+    Creating fails where the file exists (atomically on HDFS); what was written is read back, so that of two writers on an
+    object store only the one whose content stands has committed. A file that is not complete JSON, left by a writer that
+    died, holds its number but counts as nothing."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/versions"))
+        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._io = jvm.org.apache.commons.io.IOUtils
+        self._fs.mkdirs(self._path(folder))
 
-    def _versions(self) -> list[int]:
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/versions")))
+    def numbers(self) -> list[int]:
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)))
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
+    def read(self, number: int) -> dict | None:
+        src = self._fs.open(self._path(f"{self.folder}/{number:012d}.json"))
+        try:
+            return json.loads(self._io.toString(src, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            src.close()
+
+    def latest(self) -> dict | None:
+        return next((m for m in map(self.read, reversed(self.numbers())) if m is not None), None)
+
+    def create(self, number: int, value: dict) -> None:
+        value = value | {"writer": uuid.uuid4().hex}
+        at = self._path(f"{self.folder}/{number:012d}.json")
+        try:
+            out = self._fs.create(at, False)
+            out.write(bytearray(json.dumps(value).encode()))
+            out.close()
+        except Exception as e:
+            if self._fs.exists(at):
+                raise RuntimeError(f"version {number} was committed by another run") from e
+            raise
+        if self.read(number) != value:
+            raise RuntimeError(f"version {number} was committed by another run")
+
+
+class IntervalLedger:
+    """Processed intervals and outputs in one folder; a version file commits both.
+
+    ``run`` plans the gaps, hands the records in them to ``work`` and commits. Outputs of runs that did not commit are
+    never listed; of two runs at once the second fails to commit. A version names its own output only, so it stays small."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.versions = Versions(spark, f"{self.root}/versions")
+
     def manifest(self) -> dict:
-        v = self._versions()
-        if not v:
-            return {"version": 0, "intervals": None, "outputs": []}
-        return json.loads(self.spark.read.text(f"{self.root}/versions/{v[-1]:012d}.json", wholetext=True).first()[0])
+        return self.versions.latest() or {"version": 0, "intervals": None, "output": None}
 
     def processed(self) -> DataFrame:
         at = self.manifest()["intervals"]
@@ -105,35 +145,35 @@ class IntervalLedger:
 
     def output(self, schema: str) -> DataFrame:
         """What committed runs wrote."""
-        outs = self.manifest()["outputs"]
+        outs = [m["output"] for m in map(self.versions.read, self.versions.numbers()) if m and m["output"]]
         return self.spark.read.schema(schema).parquet(*outs) if outs else self.spark.createDataFrame([], schema)
 
-    def run(self, records: DataFrame, stream: str, seq: str, work: Callable[[DataFrame], DataFrame]) -> dict:
-        """One run over ``records``; returns the new manifest. Nothing to do commits nothing."""
+    def gaps(self, available: DataFrame) -> DataFrame:
+        """Ranges of ``available`` that were not processed, written down first: what is planned is what is processed."""
+        at = f"{self.root}/gaps/{uuid.uuid4().hex}"
+        subtract_intervals(available, self.processed()).write.parquet(at)
+        return self.spark.read.schema(RANGE).parquet(at)
+
+    def run(self, records: DataFrame, stream: str, seq: str, work: Callable[[DataFrame], DataFrame], available: DataFrame | None = None) -> dict:
+        """One run over ``records`` (numbers ``available``, by default all of theirs); returns the new manifest. Nothing to do
+        commits nothing."""
         before = self.manifest()
-        available = to_intervals(records, stream, seq)
-        gaps = subtract_intervals(available, self.processed())
-        run = uuid.uuid4().hex
-        gap_at = f"{self.root}/gaps/{run}"
-        gaps.write.parquet(gap_at)
-        gaps = self.spark.read.schema(RANGE).parquet(gap_at)
+        gaps = self.gaps(to_intervals(records, stream, seq) if available is None else available)
         if gaps.isEmpty():
             return before
-        out = f"{self.root}/output/{run}"
+        out = f"{self.root}/output/{uuid.uuid4().hex}"
         work(expand(gaps, records, stream, seq)).write.parquet(out)
-        at = f"{self.root}/intervals/{run}"
-        merge_intervals(self.processed().unionByName(gaps)).write.parquet(at)
-        return self._commit(before, at, out)
-
-    def _commit(self, before: dict, intervals: str, out: str) -> dict:
-        m = {"version": before["version"] + 1, "intervals": intervals, "outputs": [*before["outputs"], out], "at": time.time()}
-        tmp, final = (self._path(f"{self.root}/versions/{n}") for n in (f"{uuid.uuid4().hex}.tmp", f"{m['version']:012d}.json"))
-        stream = self._fs.create(tmp)
-        stream.write(bytearray(json.dumps(m).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
-            self._fs.delete(tmp, False)
-            raise RuntimeError(f"version {m['version']} was committed by another run")
+        return self.commit(before, gaps, out)
+
+    def commit(self, before: dict, intervals: DataFrame, output: str | None) -> dict:
+        """Adds ``intervals`` to what is processed, together with the output."""
+        at = f"{self.root}/intervals/{uuid.uuid4().hex}"
+        merge_intervals(self.processed().unionByName(intervals)).write.parquet(at)
+        number = max([before["version"], *self.versions.numbers()[-1:]]) + 1
+        if (self.versions.latest() or {"version": 0})["version"] != before["version"]:
+            raise RuntimeError(f"version {before['version']} was followed by another run")
+        m = {"version": number, "intervals": at, "output": output, "at": time.time()}
+        self.versions.create(number, m)
         return m
 
 
@@ -146,20 +186,102 @@ def current_files(files: DataFrame) -> DataFrame:
     return f.agg(F.max_by(F.struct("hash", "language", "indexed_at"), F.struct(F.coalesce("indexed_at", F.lit(float("-inf"))).alias("t"), F.coalesce("hash", F.lit("")).alias("h"))).alias("s")).select("repo_id", "path", "s.hash", "s.language", "s.indexed_at")
 
 
-def chunked_states(files: DataFrame, chunks: DataFrame, buckets: int = 256) -> DataFrame:
-    """Numbered current files with ``done``: some chunk carries the current hash and none carries another.
-
-    Chunks are folded to one row per file before the join; a chunk without hash carries no hash."""
-    f = number_records(current_files(files), ["repo_id", "path"], buckets)
-    c = chunks.select("repo_id", F.col("file_path").alias("path"), "file_hash").dropna(subset=["repo_id", "path", "file_hash"])
-    c = c.groupBy("repo_id", "path").agg(F.min("file_hash").alias("lo_hash"), F.max("file_hash").alias("hi_hash"))
-    done = (F.col("hash") == F.col("lo_hash")) & (F.col("hash") == F.col("hi_hash"))
-    return f.join(c, ["repo_id", "path"], "left").select("repo_id", "path", "hash", "stream", "seq", F.coalesce(done, F.lit(False)).alias("done"))
-
-
-def backlog(files: DataFrame, chunks: DataFrame, buckets: int = 256) -> DataFrame:
-    """Files whose current state is not fully chunked: available numbers minus the intervals already processed."""
-    s = cut(chunked_states(files, chunks, buckets))
-    available = s.groupBy("stream").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    gaps = subtract_intervals(available, to_intervals(s.filter("done"), "stream", "seq"))
-    return expand(gaps, s, "stream", "seq").select("repo_id", "path")
+_NEWER = "struct(coalesce({0}indexed_at, double('-inf')), coalesce({0}hash, ''))"
+
+
+class FileIndex:
+    """Numbered file states and what was done with them, in one folder.
+
+    ``register`` gives numbers to states that are newer than what is known of their file, ``run`` takes up the files whose
+    newest state was not processed; states overtaken before they were processed are marked as done without work."""
+
+    STATES = "stream string, seq bigint, repo_id string, path string, hash string, indexed_at double"
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 256):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.batches = Versions(spark, f"{self.root}/batches")
+        self.ledger = IntervalLedger(spark, f"{self.root}/ledger")
+
+    def states(self) -> DataFrame:
+        """Every numbered state."""
+        m = self.batches.latest()
+        return self.spark.read.schema(self.STATES).parquet(*m["parts"]) if m else self.spark.createDataFrame([], self.STATES)
+
+    def newest(self) -> DataFrame:
+        """The newest state of every file."""
+        s = self.states()
+        cols = [c for c in s.columns if c not in ("repo_id", "path")]
+        return s.groupBy("repo_id", "path").agg(F.max_by(F.struct(*cols), F.expr(_NEWER.format(""))).alias("s")).select("repo_id", "path", "s.*")
+
+    def register(self, files: DataFrame, sources: list[str] | None = None) -> None:
+        """Numbers the states in ``files`` that are newer than those known of their files."""
+        before = self.batches.latest()
+        new = current_files(files).select("repo_id", "path", "hash", "indexed_at").withColumn("stream", F.pmod(F.xxhash64("repo_id", "path"), F.lit(self.buckets)).cast("string"))
+        if before:
+            known = self.newest().select("repo_id", "path", F.expr(_NEWER.format("")).alias("known"))
+            new = new.join(known, ["repo_id", "path"], "left").filter(F.col("known").isNull() | (F.expr(_NEWER.format("")) > F.col("known"))).drop("known")
+            top = self.states().groupBy("stream").agg(F.max("seq").alias("top"))
+            new = new.join(F.broadcast(top), "stream", "left")  # one row a bucket
+        else:
+            new = new.withColumn("top", F.lit(0))
+        rank = F.row_number().over(W.partitionBy("stream").orderBy("repo_id", "path"))
+        at = f"{self.root}/states/{uuid.uuid4().hex}"
+        new.select("stream", (F.coalesce("top", F.lit(0)) + rank).cast("bigint").alias("seq"), "repo_id", "path", "hash", "indexed_at").write.parquet(at)
+        number = max(self.batches.numbers()[-1:] or [0]) + 1
+        self.batches.create(number, {"parts": [*(before["parts"] if before else []), at], "sources": sorted({*(before["sources"] if before else []), *(sources or [])})})
+
+    def unread(self, folder: str) -> list[str]:
+        """Parquet files of a folder that no batch has read."""
+        known = set((self.batches.latest() or {"sources": []})["sources"])
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = (str(s.getPath().toString()) for s in fs.listStatus(path))
+        return sorted(n for n in names if n.endswith(".parquet") and n not in known)
+
+    def register_folder(self, folder: str) -> int:
+        """Registers the states in the folder's new files, and only reads those; gives their number."""
+        new = self.unread(folder)
+        if new:
+            self.register(self.spark.read.parquet(*new), new)
+        return len(new)
+
+    def available(self) -> DataFrame:
+        return self.states().groupBy("stream").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+
+    def recover(self, chunks: DataFrame) -> None:
+        """Takes over what an index without a ledger has done: states overtaken, and those of files all of whose chunks, at
+        least one, carry their hash (a chunk without hash carries none). Chunks are folded to a row a file before the join."""
+        c = chunks.select("repo_id", F.col("file_path").alias("path"), "file_hash").dropna(subset=["repo_id", "path", "file_hash"])
+        c = c.groupBy("repo_id", "path").agg(F.min("file_hash").alias("lo_hash"), F.max("file_hash").alias("hi_hash"))
+        open_ = self.newest().join(c, ["repo_id", "path"], "left").filter(~F.coalesce((F.col("hash") == F.col("lo_hash")) & (F.col("hash") == F.col("hi_hash")), F.lit(False)))
+        self.ledger.commit(self.ledger.manifest(), subtract_intervals(self.available(), to_intervals(open_, "stream", "seq")), None)
+
+    def backlog(self) -> DataFrame:
+        """States to take up now: in a gap, and the newest of their file."""
+        return expand(self.ledger.gaps(self.available()), self.newest(), "stream", "seq")
+
+    def run(self, work: Callable[[DataFrame], DataFrame]) -> dict:
+        """One run: the backlog goes to ``work``; its output and the processed numbers, overtaken ones too, commit as one."""
+        return self.ledger.run(self.newest(), "stream", "seq", work, self.available())
+
+
+def backlog(files: DataFrame, chunks: DataFrame, root: str | None = None) -> DataFrame:
+    """Files whose current state is not fully chunked: the ledger's gaps, what is done being recovered from the chunks.
+
+    The ledger stands in ``root``, by default a new folder beside the cluster's checkpoints."""
+    spark = files.sparkSession
+    index = FileIndex(spark, root or f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.register(files)
+    index.recover(chunks)
+    return index.backlog().select("repo_id", "path")
+
+
+def backlog_by_repository(files: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Files, files to take up, the end of the last successful run, and how many of the backlog's states are dated before it
+    (late arrivals, or left over by failed runs): what a run that went by the clock would miss."""
+    cur = current_files(files)
+    todo = backlog(files, chunks).withColumn("open", F.lit(True))
+    last = runs.filter("status = 'success'").groupBy("repo_id").agg(F.max("finished_at").alias("last_success"))
+    d = cur.join(todo, ["repo_id", "path"], "left").join(last, "repo_id", "left")
+    late = F.col("open") & (F.col("indexed_at") < F.unix_micros("last_success") / 1e6)
+    return d.groupBy("repo_id").agg(F.count("*").alias("n_files"), F.count_if("open").alias("n_backlog"), F.max("last_success").alias("last_success"), F.count_if(late).alias("n_dated_before"))

@@ -12,6 +12,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.backlog(table(spark, d, "files"), table(spark, d, "chunks"))
 
 
+def p4_status(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.backlog_by_repository(*(table(spark, d, t) for t in ("files", "chunks", "index_runs")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.router_paths(table(spark, d, "endpoint_routers"), table(spark, d, "endpoint_includes"))
 
@@ -35,6 +39,15 @@ LEFT JOIN (SELECT repo_id, file_path, min(file_hash) AS lo, max(file_hash) AS hi
 WHERE NOT coalesce(c.lo = f.hash AND c.hi = f.hash, false)
 """
 
+P4_STATUS_SQL = f"""
+WITH cur AS (SELECT repo_id, path, max(indexed_at) AS indexed_at FROM files WHERE repo_id IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
+open AS ({P4_SQL}),
+last AS (SELECT repo_id, max(finished_at) AS last_success FROM index_runs WHERE status = 'success' GROUP BY 1)
+SELECT c.repo_id, count(*) AS n_files, count(o.path) AS n_backlog, max(l.last_success) AS last_success,
+  count(*) FILTER (WHERE o.path IS NOT NULL AND c.indexed_at < epoch_us(l.last_success) / 1e6) AS n_dated_before
+FROM cur c LEFT JOIN open o ON o.repo_id = c.repo_id AND o.path = c.path LEFT JOIN last l ON l.repo_id = c.repo_id GROUP BY 1
+"""
+
 P5_NODES = r"""
 WITH RECURSIVE r AS (SELECT DISTINCT id, repo_id, file_path, var, prefix, parent_var FROM endpoint_routers),
 inc AS (SELECT DISTINCT i.id, i.repo_id, i.file_path, i.line, i.target, i.prefix, p.id AS inc_parent
@@ -81,5 +94,5 @@ FROM (SELECT id, depth, anc, unnest(range(1, len(anc) + 1)) AS k FROM tree)
 
 P5_CYCLE_SQL = P5_NODES + "SELECT id FROM node WHERE id NOT IN (SELECT id FROM tree)"
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_cycles": p5_cycles}
-SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p5_descendants": P5_DESC_SQL, "p5_cycles": P5_CYCLE_SQL}
+QUERIES = {"p4_found": p4_found, "p4_status": p4_status, "p5_found": p5_found, "p5_descendants": p5_descendants, "p5_cycles": p5_cycles}
+SQL = {"p4_found": P4_SQL, "p4_status": P4_STATUS_SQL, "p5_found": P5_SQL, "p5_descendants": P5_DESC_SQL, "p5_cycles": P5_CYCLE_SQL}

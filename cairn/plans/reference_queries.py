@@ -6,14 +6,14 @@ items and messages, includes of routers as module links, raw files as the source
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.functions import constants as K, text as T
 from cairn.operators import chunking, clones, conversations, diagrams, docs, extract, graph, hierarchy, incremental, index, listings, resolve, routes, search
 from cairn.plans.core_queries import P5_NODES
-from cairn.session import cut, table
+from cairn.session import cut, ensure_checkpoint_dir, table
 from cairn.sources import repository
 from cairn.streaming import indexing
 
@@ -281,9 +281,7 @@ def analysis_stale(spark, d):
 @query(f"SELECT repo_id, path, hash FROM {_SNAP.format('max')}")
 def stream_index_available_now(spark, d):
     """Current files through the streaming front-end."""
-    from cairn.session import ensure_checkpoint_dir
-
-    root = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else f"{ensure_checkpoint_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(d)}"
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "files").schema
     src = f"{d}/files.parquet"
     if not _is_folder(spark, src):

@@ -1,15 +1,19 @@
-"""Streaming front-end of the index: micro-batches of file states merged into a snapshot table.
+"""Streaming front-end of the index: micro-batches of file states merged into a snapshot.
 
-``run_available`` takes up what has arrived since the last run and ends. Every micro-batch writes the snapshot of its own
-number and only then commits, so a batch that is repeated after a failure overwrites its own folder with the same rows.
+``run_available`` takes up what has arrived since the last run and ends. Every micro-batch writes the newest state of each
+of its files to a folder of its own number and only then commits, by a version file that is created once: a batch that is
+repeated after a failure writes the same rows to the same folder, and no moment leaves the index without a snapshot.
+Batches are folded into one table every ``FOLD`` of them; reading takes the newest state over that table and the batches since.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cairn.operators.incremental import Versions
+
+FOLD = 16
+
 
 def latest(files: DataFrame) -> DataFrame:
     """One row per file: the largest indexed_at, ties by the larger hash."""
@@ -18,43 +22,33 @@ def latest(files: DataFrame) -> DataFrame:
     return files.groupBy("repo_id", "path").agg(F.max_by(F.struct(*cols), key).alias("s")).select("repo_id", "path", "s.*")
 
 
-def _pointer(spark: SparkSession, root: str) -> dict | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/current")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return json.loads(spark.read.text(f"{root}/current", wholetext=True).first()[0]) if fs.exists(path) else None
-
-
-def _point(spark: SparkSession, root: str, value: dict) -> None:
-    jvm = spark.sparkContext._jvm
-    Path = jvm.org.apache.hadoop.fs.Path  # noqa: N806
-    tmp, to = Path(f"{root}/.current.tmp"), Path(f"{root}/current")
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(value).encode()))
-    out.close()
-    fs.delete(to, False)
-    fs.rename(tmp, to)
-
-
 def merge_batch(root: str):
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = _pointer(spark, root)
-        if before and before["batch"] >= number:
+        versions = Versions(spark, f"{root}/versions")
+        before = versions.latest() or {"batch": -1, "parts": []}
+        if before["batch"] >= number:
             return  # committed already
-        rows = batch if before is None else batch.unionByName(spark.read.parquet(before["path"]))
-        at = f"{root}/snapshots/{number:012d}"
-        latest(rows).write.mode("overwrite").parquet(at)
-        _point(spark, root, {"batch": number, "path": at})
+        at = f"{root}/batches/{number:012d}"
+        latest(batch).write.mode("overwrite").parquet(at)
+        parts = [*before["parts"], at]
+        if len(parts) > FOLD:
+            at = f"{root}/folded/{number:012d}"
+            latest(spark.read.parquet(*parts)).write.mode("overwrite").parquet(at)
+            parts = [at]
+        versions.create(max([number, *(n + 1 for n in versions.numbers()[-1:])]), {"batch": number, "parts": parts})
 
     return run
 
 
+def snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    now = Versions(spark, f"{root}/versions").latest()
+    return latest(spark.read.schema(schema).parquet(*now["parts"]) if now else spark.createDataFrame([], schema))
+
+
 def run_available(spark: SparkSession, source: str, schema: str, root: str, files_per_batch: int = 1000) -> DataFrame:
     """Reads the parquet files in ``source`` that are new, merges them, and returns the snapshot."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     q = stream.writeStream.foreachBatch(merge_batch(root)).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    now = _pointer(spark, root)
-    return spark.read.parquet(now["path"]) if now else spark.createDataFrame([], schema)
+    return snapshot(spark, root, schema)
