@@ -1,12 +1,14 @@
 """Cutting oversized texts at natural boundaries: structure-tree packing.
 
-The lines of a text form a tree: markdown headings by level, list items and code by indentation, fenced blocks and
-bracketed bodies under their opening line, paragraphs divided by blank lines. Subtrees that fit stay whole; sibling
-pieces are merged bottom-up to the limit; only nodes that are too large are opened. A line too long by itself is cut
-after a sentence end, a separator or white space, and inside a word only where it has none of them.
+The lines of a text form a tree: markdown headings by level, markup by the nesting of its tags, list items and code by
+indentation, fenced blocks and bracketed bodies under their opening line, siblings divided into paragraphs by blank lines.
+Subtrees that fit stay whole; sibling pieces are merged bottom-up to the limit; only nodes that are too large are opened.
+A line too long by itself is cut after a sentence end, a separator or white space, and inside a word only where it has none
+of them.
 
-Every later piece begins with the last two lines of the one before where they fit under the limit. The pieces without
-these repeated lines, joined, are the text.
+Every later piece begins with the last two lines of the one before. Where two lines take more than half of a piece or do
+not fit, it is the last line, and where that does not fit either, or a line was cut, its last words. The pieces without what
+they repeat, joined, are the text.
 
 Defined cases: null texts and texts within the limit give no pieces from ``split_oversized``; ``start_line`` null counts
 as 1, ``symbol_kind`` null becomes block; repeated rows of an id are split once.
@@ -26,17 +28,21 @@ LIMIT = 600
 OVERLAP = 2
 _LINES = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+")
 _HEADING = re.compile(r"(#{1,6})\s")
+_HEADED = re.compile(r"(?m)^#{1,6} \S.*(?:\r?\n[ \t]*\r?\n)")
+_TAG = re.compile(r"<(/?)([A-Za-z][\w:.-]*)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*?)(/?)>|<!--.*?(?:-->|$)")
 _CLOSER = re.compile(r"\s*(?:[)\]}]|end\b|</|else\b|elif\b|except\b|finally\b|catch\b|case\b|default\b)")
 _LEAD = re.compile(r"\s*(?:@|#\[|///|/\*\*|\*|//|\[\w)")
 _ENDS = (re.compile(r"[.!?]\s"), re.compile(r"[;,]\s?"), re.compile(r"\s"), re.compile(r"[^\w\s]"))
+#: Elements without an end tag.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 def estimate(text: str) -> int:
     return max(1, len(text) // 4)
 
 
-def _depths(lines: list[str], markdown: bool) -> list[int | None]:
-    """Depth of each line; None for blank ones, which belong to what stands before them."""
+def _headed(lines: list[str]) -> list[int | None]:
+    """Depth of each line of a text with headings; None for blank ones, which belong to what stands before them."""
     out: list[int | None] = []
     fence = False
     after = 0
@@ -45,57 +51,121 @@ def _depths(lines: list[str], markdown: bool) -> list[int | None]:
         if not s:
             out.append(None)
             continue
-        indent = len(x.expandtabs(4)) - len(x.expandtabs(4).lstrip())
-        if markdown:
-            mark = s.startswith(("```", "~~~"))
-            h = None if fence or mark else _HEADING.match(s)
-            if h:
-                out.append(len(h[1]))
-                after = len(h[1])
-            else:
-                out.append(after + 10 + (500 if fence else indent))
-            if mark:
-                if fence:
-                    out[-1] = after + 510
-                fence = not fence
+        mark = s.startswith(("```", "~~~"))
+        h = None if fence or mark else _HEADING.match(s)
+        if h:
+            after = len(h[1])
+            out.append(after)
         else:
-            out.append(indent)
+            out.append(after + 10 + (500 if fence else _indent(x)))
+        fence ^= mark
+    return out
+
+
+def _marked_up(lines: list[str]) -> list[int | None]:
+    """Depth of each line by the elements open where it begins, those it closes at once not counted."""
+    out: list[int | None] = []
+    open_: list[str] = []
+    for x in lines:
+        depth, lead, at = len(open_), True, 0
+        for m in _TAG.finditer(x):
+            lead = lead and not x[at : m.start()].strip()
+            at = m.end()
+            name = (m[2] or "").lower()
+            if m[1]:
+                if name in open_:
+                    while open_.pop() != name:
+                        pass
+                    depth = min(depth, len(open_)) if lead else depth
+            elif name and not m[4] and name not in _VOID:
+                open_.append(name)
+                lead = False
+        out.append(depth if x.strip() else None)
     return out
 
 
+def _indent(x: str) -> int:
+    x = x.expandtabs(4)
+    return len(x) - len(x.lstrip())
+
+
+def _kind(text: str, language: str | None) -> str:
+    """How the tree of a text is read; a text without a language is looked at."""
+    name = (language or "").lower()
+    if name in ("markdown", "md", "rst", "text"):
+        return "headings"
+    if name in ("html", "xml", "svg", "vue", "xhtml") or not name and re.match(r"\s*<[!?A-Za-z]", text) and len(_TAG.findall(text)) > 2:
+        return "markup"
+    return "headings" if not name and (_HEADED.search(text) or re.search(r"(?m)^#{1,6} \S", text) and "```" in text) else "indent"
+
+
 class _Packer:
-    def __init__(self, text: str, markdown: bool, limit: int, overlap: int):
+    def __init__(self, text: str, kind: str, limit: int, overlap: int):
         self.lines = _LINES.findall(text)
-        self.depth = _depths(self.lines, markdown)
+        self.depth = _headed(self.lines) if kind == "headings" else _marked_up(self.lines) if kind == "markup" else [_indent(x) if x.strip() else None for x in self.lines]
         self.sum = [0, *accumulate(map(len, self.lines))]
         self.room, self.overlap = limit * 4 + 3, overlap
 
     def back(self, a: int) -> int:
-        """Characters of the lines repeated before line ``a``, if they take at most half of a piece."""
-        n = self.sum[a] - self.sum[max(0, a - self.overlap)]
-        return n if n <= self.room // 2 else 0
+        """Characters repeated before line ``a`` where they fit: whole lines up to half of a piece, else the last words."""
+        for k in range(min(self.overlap, a), 0, -1):
+            n = self.sum[a] - self.sum[a - k]
+            if n <= self.room // 2:
+                return n
+        return len(self.tail(self.lines[a - 1], self.room // 8)) if a and self.overlap else 0
+
+    def tail(self, text: str, most: int) -> str:
+        """The end of a text, of at most ``most`` characters, from the start of a sentence, a part or a word."""
+        end = text[max(0, len(text) - most) :] if most > 0 else ""
+        if len(end) == len(text):
+            return end
+        for e in _ENDS[:3]:
+            m = e.search(end)
+            if m and m.end() < len(end):
+                return end[m.end() :]
+        return end
 
     def fits(self, a: int, b: int) -> bool:
         return self.sum[b] - self.sum[a] + self.back(a) <= self.room
 
-    def kids(self, a: int, b: int) -> list[tuple[int, int]]:
-        """Children of the stretch: subtrees below its least depth, or its first line and the rest."""
-        some = [d for d in self.depth[a:b] if d is not None]
-        if not some:
-            return [(i, i + 1) for i in range(a, b)]
-        least = min(some)
-        starts = [i for i in range(a, b) if self.depth[i] == least and (i == a or not _CLOSER.match(self.lines[i]))]
-        lead = [i for i in starts if i == a or not (_LEAD.match(self.lines[i - 1]) and self.depth[i - 1] == least)]
-        starts = lead if len(lead) > 1 else starts
-        if not starts or starts[0] != a:
-            starts = [a, *starts]
-        if len(starts) == 1:
-            return [(a, a + 1), (a + 1, b)]
-        return list(zip(starts, [*starts[1:], b]))
-
-    def paragraphs(self, a: int, b: int) -> list[tuple[int, int]]:
-        starts = [a, *(i for i in range(a + 1, b) if self.depth[i] is not None and self.depth[i - 1] is None)]
-        return list(zip(starts, [*starts[1:], b]))
+    def tree(self) -> tuple[list[list[int]], list[int], list[int]]:
+        """Children of each node (a line, the root last), and the first line and the end of each subtree.
+
+        A line lies under the nearest line before it that is less deep. Closing lines and blank ones belong to the subtree
+        before them, comments and attributes at the same depth to the line after them."""
+        n = len(self.lines)
+        kids: list[list[int]] = [[] for _ in range(n + 1)]
+        end = list(range(1, n + 1)) + [n]
+        stack: list[int] = []
+        lead: dict[int, int] = {}  # line -> the first line of the comments before it
+        run: int | None = None
+        for i in range(n):
+            d = self.depth[i]
+            if d is None:
+                if i == 0:
+                    kids[n].append(i)  # a blank beginning is a node of its own
+                run = None
+                continue
+            while stack and self.depth[stack[-1]] > d:
+                end[stack.pop()] = i
+            if stack and self.depth[stack[-1]] == d:
+                if _CLOSER.match(self.lines[i]):
+                    run = None
+                    continue
+                end[stack.pop()] = i if run is None else run
+            if run is not None:
+                lead[i] = run
+            if _LEAD.match(self.lines[i]) and i + 1 < n and self.depth[i + 1] == d:
+                run = i if run is None else run
+                continue
+            run = None
+            kids[stack[-1] if stack else n].append(i)
+            stack.append(i)
+        for i in stack:
+            end[i] = n
+        if run is not None:
+            kids[n].append(run)
+        return kids, [lead.get(i, i) for i in range(n)] + [0], end
 
     def merge(self, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out = parts[:1]
@@ -106,25 +176,42 @@ class _Packer:
                 out.append((a, b))
         return out
 
-    def pack(self, a: int, b: int, level: int = 0) -> list[tuple[int, int]]:
-        if b - a <= 1 or self.fits(a, b):
-            return [(a, b)]
-        paras = self.paragraphs(a, b)
-        same = [d for d in self.depth[a:b] if d is not None]
-        kids = paras if len(paras) > 1 and len(set(same)) == 1 else self.kids(a, b)
-        if level > 300:
-            kids = [(i, i + 1) for i in range(a, b)]
-        return self.merge([p for k in kids for p in self.pack(*k, level + 1)])
-
-    def cut_line(self, text: str) -> list[str]:
+    def pack(self) -> list[tuple[int, int]]:
+        """Stretches of lines, each within the limit or a single line: children before parents, no recursion."""
+        kids, first, end = self.tree()
+        n = len(self.lines)
+        done: dict[int, list[tuple[int, int]]] = {}
+        for node in [*range(n - 1, -1, -1), n]:
+            a, b = (0, n) if node == n else (first[node], end[node])
+            own = kids[node]
+            if node < n and not own and b - a == 1 or self.fits(a, b):
+                done[node] = [(a, b)]
+                for k in own:
+                    done.pop(k, None)
+                continue
+            starts = [first[k] for k in own]
+            parts = [(i, i + 1) for i in range(a, starts[0] if starts else b)]  # the node's own lines
+            para: list[tuple[int, int]] = []
+            for x, k in enumerate(own):
+                stop = starts[x + 1] if x + 1 < len(own) else b
+                got = done.pop(k, [])
+                got += [(i, i + 1) for i in range(got[-1][1] if got else starts[x], stop)]
+                para += got
+                if x + 1 == len(own) or self.depth[stop - 1] is None:
+                    parts += self.merge(para)
+                    para = []
+            done[node] = self.merge(parts)
+        return done[n]
+
+    def cut_line(self, text: str, room: int) -> list[str]:
         out = []
-        while len(text) > self.room:
-            head = text[: self.room]
+        while len(text) > room:
+            head = text[:room]
             for e in _ENDS:
                 at = max((m.end() for m in e.finditer(head, len(head) // 2)), default=0)
                 if at:
                     break
-            at = at or self.room
+            at = at or room
             out.append(text[:at])
             text = text[at:]
         return [*out, text] if text else out
@@ -132,24 +219,24 @@ class _Packer:
     def pieces(self) -> list[tuple[int, int, int, str]]:
         """(first line, last line, both counted from 0; characters repeated from the piece before; text)."""
         out: list[tuple[int, int, int, str]] = []
-        for a, b in self.pack(0, len(self.lines)):
+        for a, b in self.pack():
             body = "".join(self.lines[a:b])
-            if len(body) > self.room:
-                out += [(a, b - 1, 0, x) for x in self.cut_line(body)]
+            if len(body) > self.room:  # one line
+                most = self.room // 8 if self.overlap else 0
+                for x in self.cut_line(body, self.room - most):
+                    again = self.tail(out[-1][3], most) if out else ""
+                    begin = a - 1 if out and out[-1][1] < a and again else a
+                    out.append((begin, b - 1, len(again), again + x))
                 continue
-            begin = max(0, a - self.overlap)
-            if len(body) + self.sum[a] - self.sum[begin] > self.room:
-                begin = a
-            out.append((begin, b - 1, self.sum[a] - self.sum[begin], "".join(self.lines[begin:a]) + body))
+            k = next((k for k in range(min(self.overlap, a), 0, -1) if self.sum[a] - self.sum[a - k] <= min(self.room // 2, self.room - len(body)) and (not out or out[-1][0] <= a - k)), 0)
+            again = "".join(self.lines[a - k : a]) if k else self.tail(self.lines[a - 1], min(self.room // 8, self.room - len(body))) if a and self.overlap else ""
+            out.append((a - (k or bool(again)), b - 1, len(again), again + body))
         return out
 
 
 def split_text(text: str, language: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
     """Pieces of one text: (first line, last line, repeated characters, piece)."""
-    if not text:
-        return []
-    markdown = (language or "").lower() in ("markdown", "md") or (not language and bool(re.search(r"(?m)^#{1,6} \S", text)) and "```" in text)
-    return _Packer(text, markdown, limit, overlap).pieces()
+    return _Packer(text, _kind(text, language), limit, overlap).pieces() if text else []
 
 
 _SCHEMA = "id bigint, piece int, start_line int, end_line int, symbol_kind string, n_repeated int, content string"

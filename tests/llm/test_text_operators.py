@@ -124,6 +124,28 @@ def test_later_pieces_repeat_two_lines_and_cut_between_functions():
     assert all(x[3][x[2] :].startswith("def ") for x in p)
 
 
+@pytest.mark.parametrize("text", ["".join(f"{k}" + "x" * 998 + "\n" for k in range(10)), "word " * 2000, "x" * 9999, "a\n" * 5000, "".join(" " * k + "x\n" for k in range(400)), "# A\n\nt\n\n" + "## B\n\ntext text\n\n" * 300, "// c\n" * 2000])
+def test_every_later_piece_repeats_what_fits(text):
+    pieces = split.split_text(text)
+    assert "".join(x[p:] for *_, p, x in pieces) == text
+    assert all(p > 0 and q[3].endswith(x[:p]) and split.estimate(x) <= split.LIMIT for q, (*_, p, x) in zip(pieces, pieces[1:]))
+
+
+def test_markup_is_cut_between_elements():
+    item = "<li>\n<p>some text here, more</p>\n</li>\n"
+    text = "<ul>\n" + item * 300 + "</ul>\n"
+    for _, _, p, x in split.split_text(text, "html")[1:-1]:
+        assert x[p:].startswith("<li>") and x.endswith("</li>\n")
+    assert split._marked_up(["<a>", "<b>x</b>", "<br>", "</a>", "", "<!-- <c> -->"]) == [0, 1, 1, 0, None, 0]
+
+
+def test_nested_code_is_opened_only_where_it_is_too_large():
+    body = "".join(f"    def m{k}(self):\n        # why\n        return {k}\n\n" for k in range(30))
+    text = f"class A:\n{body}\nclass B:\n{body * 3}\nclass C:\n{body}"
+    starts = [x[p:].lstrip("\n").split("\n")[0].strip() for *_, p, x in split.split_text(text, "python")]
+    assert starts[0] == "class A:" and "class C:" in starts and all(x.startswith(("class ", "def m")) for x in starts)
+
+
 def test_only_oversized_chunks_are_split(spark):
     big = "line of text\n" * 400
     df = spark.createDataFrame([(1, "python", None, 5, big, "e"), (1, "python", None, 5, big, "e"), (2, None, "class", 1, "small", "e"), (3, None, None, None, None, "e")], "id bigint, language string, symbol_kind string, start_line int, content string, piece string")
