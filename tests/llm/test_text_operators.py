@@ -513,6 +513,16 @@ def test_credentials_without_hint_or_bound(spark, secrets_model):
     assert {r.id: r.redacted for r in credentials.scan(chunks, env, secrets_model).collect()} == dict(enumerate(whole))
 
 
+def test_credentials_by_place_and_name(secrets_model):
+    found = ["// temp: smtp_pass : Otter_STALE61&\n", "# old login: passphrase = Gra#pTs0us$60\n", "-- staging: hmacSecret : AEirqCIUy5JlRAUhR2MsH+W8dWtVYvroqK2AsIzYNkR=\n", "CREATE USER svc IDENTIFIED BY 'Otter_REMOTE6&';", 'admin_pw = (\n    "Cobalt"\n    "-beacon-695"\n)\n', 'source.Set("' + "very_long_" * 9 + 'password", "Otter_REMOTE6&")', "x = 1\n" + " " * 150 + 'password = "Otter_REMOTE6&"']
+    for text in found:
+        assert any(secrets_model.score(c, "a.py") >= 0.5 for c in credentials.candidates(text)), text
+    rng = random.Random(8)
+    blob = ",\n".join('    "' + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=76)) + '"' for _ in range(20))
+    for text in ["PAYLOAD = [\n" + blob + "\n]\n", "# see: the notes : for more\n", "GRANT ALL TO svc WITH GRANT OPTION"]:
+        assert not any(secrets_model.score(c, "a.py") >= 0.5 for c in credentials.candidates(text)), text
+
+
 def test_notices_of_origin_count_after_long_headers(spark):
     licence = "".join(f"// line {k} of a licence, which goes on about warranties, liabilities and the conditions of use and distribution\n" for k in range(30))
     code = "function f(a) {\n  return a + 1;\n}\n"
