@@ -4,8 +4,9 @@
    ids. The fold ranks before it shuffles, so a vector that a third of all rows repeat leaves a few rows per task.
 2. Cells: centroids come from a bounded sample (``sample_per_cell`` vectors for each of at most ``max_cells`` cells,
    about one cell for ``cell_rows`` vectors, refined by spherical k-means). Every vector goes to its nearest
-   cells as a query (two, and up to ``probes`` whose centroid is within ``margin`` of the best by cosine) and to the nearest ``stored`` as data. A cell of more than ``block`` rows is cut into row blocks, tile by
-   tile, so it stays exact; one of more than ``hot_cells`` times the usual size gets centroids of its own, and its rows ask
+   cells as a query (two, and up to ``probes`` whose centroid is within ``margin`` of the best by cosine) and to the nearest ``stored`` as data. A cell of more than
+   ``block`` rows, or asked by more than ``asking``, is cut into blocks on both sides; every pair of blocks is a group of its
+   own, so it stays exact and no group grows with the data. One of more than ``hot_cells`` times the usual size gets centroids of its own, and its rows ask
    four times as many cells.
 3. A tile is the product of two blocks of int8 vectors (held as float32, where these integer products are exact), with a
    bound on the quantisation error of every entry. Pairs that can still be among a row's k best are recomputed in double
@@ -22,7 +23,6 @@ count once; an empty table gives no pairs; with fewer than k others all of them
 from __future__ import annotations
 
 import heapq
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +126,7 @@ def _best(lists, k: int) -> list[tuple[float, int]]:
     return out
 
 
-def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 6, margin: float = 0.06, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 16384, tile: int = 4096, hot_cells: int = 64) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, probes: int = 6, margin: float = 0.06, stored: int = 1, sample_per_cell: int = 24, max_cells: int = 16384, block: int = 16384, tile: int = 4096, hot_cells: int = 64, asking: int = 65536) -> DataFrame:
     """(id, neighbour_id, similarity, rank) of every usable vector of ``df`` (id, embedding)."""
     spark = df.sparkSession
     rows = usable(df, dim=dim)
@@ -157,11 +157,22 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
 
         return spread(reps).mapInArrow(run, "v array<float>, ids array<bigint>, cells array<int>")
 
-    sizes: dict[int, int] = {}
     refined: list[int] = []
+
+    def asked(c) -> DataFrame:
+        """Rows with the cells they ask, nearest first; in a refined place, where cells lie close together, more of them."""
+        a = assigned(c, max(probes * (4 if refined else 1), stored), 9.0 if refined else margin)
+        asks = F.when(F.col("cells")[0].isin(refined), 4 * probes).otherwise(probes) if refined else F.lit(probes)
+        return a.select("v", "ids", F.posexplode("cells").alias("pos", "cell"), asks.alias("asks")).filter((F.col("pos") < F.col("asks")) | (F.col("pos") < stored))
+
+    def large(c) -> dict[int, tuple[int, int]]:
+        """Rows stored and rows asking of the cells that need cutting: at most one row a cell."""
+        a = asked(c).groupBy("cell").agg(F.count_if(F.col("pos") < stored).alias("d"), F.count_if(F.col("pos") < F.col("asks")).alias("q"))
+        return {r.cell: (r.d, r.q) for r in a.filter((F.col("d") > block) | (F.col("q") > asking)).collect()}
+
     for _ in range(3):
-        sizes = {r[0]: r[1] for r in assigned(centroids, 1).groupBy(F.col("cells")[0].alias("cell")).count().filter(F.col("count") > block).collect()}
-        hot = {c: s for c, s in sizes.items() if s > hot_cells * cell_rows}
+        sizes = large(centroids)
+        hot = {c: d for c, (d, _) in sizes.items() if d > hot_cells * cell_rows}
         room = max_cells - len(centroids)
         if not hot or room < 2:
             break
@@ -176,18 +187,24 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
             break
         refined += [*hot, *range(len(centroids), len(centroids) + sum(map(len, more)))]
         centroids = np.concatenate([centroids, *more])
-
-    # rows of a refined place ask more cells: there the cells lie close together
-    asks = F.when(F.col("nearest").isin(refined), 4 * probes).otherwise(probes) if refined else F.lit(probes)
-    a = assigned(centroids, max(probes * (4 if refined else 1), stored), 9.0 if refined else margin)
-    parts = F.create_map(*itertools.chain(*((F.lit(int(c)), F.lit(-(-int(s) // block))) for c, s in sizes.items()))) if sizes else None
-    n_parts = F.coalesce(parts[F.col("cell")], F.lit(1)) if parts is not None else F.lit(1)
-    own = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("n_parts")).cast("int")
-    a = a.select("v", "ids", F.col("cells")[0].alias("nearest"), F.posexplode("cells").alias("pos", "cell")).withColumn("n_parts", n_parts)
-    # the row's own part as data; as a query it meets every part of the cell
-    is_data = (F.col("pos") < stored) & (F.col("part") == own)
-    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).select("cell", "part", "v", "ids", is_data.alias("is_data"), (F.col("pos") < asks).alias("is_query"))
-    a = a.filter("is_data or is_query")
+    else:
+        sizes = large(centroids)
+
+    def cuts(n: int, size: int):
+        """Number of blocks of a row's cell."""
+        many = {c: -(-s[n] // size) for c, s in sizes.items() if s[n] > size}
+        return F.coalesce(F.create_map(*(F.lit(int(x)) for c in many.items() for x in c))[F.col("cell")], F.lit(1)) if many else F.lit(1)
+
+    a = asked(centroids).withColumn("nd", cuts(0, block)).withColumn("nq", cuts(1, asking))
+    h = F.xxhash64(F.col("ids")[0])
+    a = a.withColumn("d", F.pmod(h, F.col("nd")).cast("int")).withColumn("q", F.pmod(F.shiftrightunsigned(h, 17), F.col("nq")).cast("int"))
+    stored_here, asking_here = F.col("pos") < stored, F.col("pos") < F.col("asks")
+    # a stored row meets every block of those asking, an asking row every block of those stored
+    none = F.array().cast("array<int>")
+    as_data = F.when(stored_here, F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: F.col("d") * F.col("nq") + q)).otherwise(none)
+    as_query = F.when(asking_here, F.transform(F.sequence(F.lit(0), F.col("nd") - 1), lambda d: d * F.col("nq") + F.col("q"))).otherwise(none)
+    a = a.withColumn("part", F.explode(F.array_union(as_data, as_query)))
+    a = a.select("cell", "part", "v", "ids", (stored_here & (F.floor(F.col("part") / F.col("nq")) == F.col("d"))).alias("is_data"), (asking_here & (F.col("part") % F.col("nq") == F.col("q"))).alias("is_query"))
 
     def tiles(t: pa.Table) -> pa.Table:
         x = _unit(_vectors(t.column("v"), dim).astype(np.float64))
@@ -231,8 +248,10 @@ def nearest(df: DataFrame, k: int = 5, dim: int = 64, cell_rows: int = 1000, pro
 
     near = together.mapInArrow(merged, schema)
     # ids beyond the k+1 smallest of a repeated vector: their neighbours are the k smallest
-    full = reps.filter(F.size("ids") > k).select("v", "ids")
-    rest = rows.join(full, "v").filter(~F.array_contains("ids", F.col("id"))).select("id", F.slice("ids", 1, k).alias("ids")).distinct()
+    # (joined by two hashes of the vector: only ids and keys are shuffled, and AQE splits a key that many rows share)
+    keys = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")]
+    full = reps.filter(F.size("ids") > k).select(*keys, "ids")
+    rest = rows.select("id", *keys).join(full, ["k1", "k2"]).filter(~F.array_contains("ids", F.col("id"))).select("id", F.slice("ids", 1, k).alias("ids")).distinct()
     rest = rest.select("id", F.posexplode("ids").alias("rank", "neighbour_id")).select("id", "neighbour_id", F.lit(1.0).alias("similarity"), (F.col("rank") + 1).alias("rank"))
     return near.unionByName(rest)
 

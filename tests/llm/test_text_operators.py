@@ -201,6 +201,7 @@ def test_recall_over_cells_and_hot_cells(spark):
     got = {tuple(r) for r in neighbours.neighbour_pairs(df, cell_rows=60, block=64).collect()}
     want = brute(data)
     assert len(got & want) / len(want) >= 0.9
+    assert {tuple(r) for r in neighbours.neighbour_pairs(df, cell_rows=60, block=50, asking=40).collect()} == got  # cut finer on both sides
 
 
 def test_few_or_no_vectors(spark):
