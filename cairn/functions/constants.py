@@ -17,6 +17,12 @@ SECRET_TOKENS = ["KEY", "TOKEN", "SECRET", "PASSWORD", "PASSWD", "PWD", "CREDENT
 BENIGN_TOKENS = ["TTL", "EXPIRES", "EXPIRY", "EXPIRATION", "TIMEOUT", "DURATION", "LIFETIME", "SECONDS", "MINUTES", "HOURS", "DAYS", "LENGTH", "SIZE", "COUNT", "ENABLED", "ENABLE", "ALGORITHM", "HEADER", "PREFIX", "MAX", "MIN", "LIMIT", "ROUNDS", "ITERATIONS"]
 CREDENTIAL_URL = r"://[^/\s:@]+:[^/\s@]+@"
 DEBT_TAGS = ["TODO", "FIXME", "HACK", "XXX", "BUG", "NOTE"]
+DEBT_STYLES = {  # where a tag stands in a line, and the sign between it and its text
+    "comment": (r"^[\s/*#\-;!<>]*", r"\s*[:\-–—]?\s*"),
+    "marked": (r"(?:(?:^|\s)(?://+|#+|--+|;+|/\*+|<!--)|^\s*\*)\s*", r"\s*[:\-–—]?\s*"),
+    "prose": (r"^\s*(?:[-*+]\s+)?(?:\[[ xX]\]\s*)?", r"\s*[:\-–—]\s*"),
+}
+MAX_MARKED_LINE, MAX_DEBT_TEXT = 2000, 300
 LABEL_STOPWORDS = ["the", "a", "an", "and", "or", "to", "of", "in", "on", "for", "is", "it", "this", "that", "we", "be", "with", "as", "at", "by", "from", "not", "should", "need", "needs", "make", "use", "when", "if", "are", "was", "will", "can", "add", "fix", "later", "here", "there", "todo", "fixme", "hack", "xxx", "bug", "note"]
 METHOD_ORDER = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "WS", "ANY"]
 FRAMEWORK_LABELS = {"fastapi": "FastAPI", "flask": "Flask", "express": "Express", "fastify": "Fastify", "koa": "Koa", "nest": "NestJS", "spring": "Spring", "nethttp": "net/http", "gin": "Gin", "chi": "chi", "echo": "Echo", "aspnet": "ASP.NET"}

@@ -6,10 +6,12 @@ group never leaves its component.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.functions import constants as K, text as T
 from cairn.session import cut
@@ -163,43 +165,76 @@ def average_linkage(x: np.ndarray, threshold: float) -> list[int]:
     return labels
 
 
-def greedy_centroids(x: np.ndarray, threshold: float) -> list[int]:
-    """Labels in input order: the nearest running mean of at least ``threshold``, else a new cluster."""
-    sums: list[np.ndarray] = []
-    out = []
-    for v in x:
-        if sums:
-            c = np.array([s / max(np.linalg.norm(s), 1e-12) for s in sums]) @ v
+class Greedy:
+    """Clusters of vectors as they come: the nearest running mean of at least ``threshold``, else a new one. Only the sums
+    of the clusters are kept."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.n = threshold, 0
+        self.sums = self.means = np.zeros((0, 0))
+
+    def add(self, v: np.ndarray) -> int:
+        if self.n:
+            c = self.means[: self.n] @ v
             k = int(np.argmax(c))
-            if c[k] >= threshold:
-                sums[k] = sums[k] + v
-                out.append(k)
-                continue
-        sums.append(v.copy())
-        out.append(len(sums) - 1)
-    return out
-
-
-def cluster_vectors(vectors: DataFrame, threshold: float = 0.6, exact_limit: int = 600, max_rows: int = 20_000) -> DataFrame:
-    """(id, cluster) of (id, vector): average linkage up to ``exact_limit`` rows, greedy beyond, in order of id.
-
-    The topics of one debt board; ``max_rows`` is the board's size limit and an error beyond it."""
-    v = vectors.filter(F.col("vector").isNotNull())
-    t = v.select("id", T.l2_normalise(F.col("vector")).alias("vector")).orderBy("id").limit(max_rows + 1).toArrow()
-    if t.num_rows > max_rows:
-        raise ValueError(f"a board holds at most {max_rows} items")
-    if not t.num_rows:
-        return vectors.sparkSession.createDataFrame([], "id bigint, cluster int")
-    x = np.asarray(t.column(1).combine_chunks().flatten()).reshape(t.num_rows, -1)
-    labels = average_linkage(x, threshold) if len(x) <= exact_limit else greedy_centroids(x, threshold)
-    return vectors.sparkSession.createDataFrame(list(zip(t.column(0).to_pylist(), labels)), "id bigint, cluster int")
+            if c[k] >= self.threshold:
+                self.sums[k] += v
+                self.means[k] = self.sums[k] / max(np.linalg.norm(self.sums[k]), 1e-12)
+                return k
+        if self.n == len(self.sums):
+            grown = np.zeros((max(16, 2 * self.n), len(v)))
+            grown[: self.n] = self.sums[: self.n] if self.n else 0
+            means = grown.copy()
+            means[: self.n] = self.means[: self.n] if self.n else 0
+            self.sums, self.means = grown, means
+        self.sums[self.n], self.means[self.n] = v, v / max(np.linalg.norm(v), 1e-12)
+        self.n += 1
+        return self.n - 1
+
+
+def greedy_centroids(x: np.ndarray, threshold: float) -> list[int]:
+    g = Greedy(threshold)
+    return [g.add(v) for v in x]
+
+
+def cluster_boards(vectors: DataFrame, threshold: float = 0.6, exact_limit: int = 600) -> DataFrame:
+    """(board, id, cluster) of (board, id, vector): average linkage for boards of up to ``exact_limit`` items, greedy in order
+    of id for larger ones, which are read as a stream, so that a task holds the sums of their clusters only."""
+    v = vectors.filter(F.col("vector").isNotNull()).select("board", "id", T.l2_normalise(F.col("vector")).alias("vector"))
+    board = vectors.schema["board"].dataType.simpleString()
+    v = v.join(v.groupBy("board").agg(F.count("*").alias("_n")), "board")
+    schema = f"board {board}, id bigint, cluster int"
+
+    def exact(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        return pa.table({"board": t.column("board"), "id": t.column("id"), "cluster": pa.array(average_linkage(np.stack(t.column("vector").to_numpy()), threshold), pa.int32())})
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, g = None, None
+        for b in batches:
+            out = []
+            for name, x in zip(b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)):
+                if g is None or name != now:
+                    now, g = name, Greedy(threshold)
+                out.append(g.add(x))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], ["board", "id", "cluster"])
+
+    small = v.filter(F.col("_n") <= exact_limit).select("board", "id", "vector").groupBy("board").applyInArrow(exact, schema)
+    large = v.filter(F.col("_n") > exact_limit).select("board", "id", "vector").repartition("board").sortWithinPartitions("board", "id").mapInArrow(stream, schema)
+    return small.unionByName(large)
+
+
+def cluster_vectors(vectors: DataFrame, threshold: float = 0.6, exact_limit: int = 600) -> DataFrame:
+    """(id, cluster) of (id, vector): one board."""
+    return cluster_boards(vectors.withColumn("board", F.lit(0)), threshold, exact_limit).drop("board")
 
 
 def keyword_labels(items: DataFrame, words: int = 3) -> DataFrame:
     """(cluster, label) of (cluster, text): the words of most texts, ties by the word; 'Miscellaneous' where none."""
     w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z0-9_]{2,}"), F.lit(0)))
     d = items.select("cluster", F.explode(w).alias("word")).filter(~F.col("word").isin(K.LABEL_STOPWORDS)).groupBy("cluster", "word").count()
-    top = d.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "word"))), 1, words).alias("top"))
+    best = d.withColumn("k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("count"), "word"))).filter(F.col("k") <= words)
+    top = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("top"))
     label = F.array_join(F.transform("top", lambda x: x["word"]), " ")
     label = F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1000))
     return items.select("cluster").distinct().join(top.select("cluster", label.alias("label")), "cluster", "left").select("cluster", F.coalesce("label", F.lit("Miscellaneous")).alias("label"))

@@ -6,7 +6,7 @@ group texts, since a report file is one string by nature.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import constants as K, text as T
 
@@ -67,14 +67,21 @@ def _listed(d: DataFrame, key: list[Column | str], order: list[str], line: Colum
 
 
 def debt_markdown(items: DataFrame) -> DataFrame:
-    """(text): the board as markdown, by tag."""
+    """(section, part, row): the lines of the board as markdown, by tag, in order; write ``row`` as text.
+
+    Rows are sorted over the cluster, so a board of any size needs no task that holds it."""
     who = F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit(" ("), F.col("author"), F.lit(")"))).otherwise(F.lit(""))
     text = F.when(F.coalesce("text", F.lit("")) == "", F.lit("(no text)")).otherwise(F.col("text"))
     line = F.concat(F.lit("- "), text, F.lit(" `"), F.col("file_path"), F.lit(":"), F.col("line").cast("string"), F.lit("`"), who)
-    g = _listed(items, ["tag"], ["file_path", "line"], line)
-    g = g.select("tag", "n", F.concat(F.lit("## "), "tag", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n\n"), "body", F.lit("\n")).alias("block"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag", "block"))), lambda x: x["block"]), "\n")
-    return g.agg(F.concat(F.lit("# Tech debt\n\n"), F.coalesce(F.sum("n"), F.lit(0)).cast("string"), F.lit(" items\n"), F.when(F.count("*") > 0, F.concat(F.lit("\n"), whole)).otherwise(F.lit(""))).alias("text"))
+    rows = items.select(F.col("tag").alias("section"), F.lit(2).alias("part"), "file_path", "line", line.alias("row"))
+    per = items.groupBy(F.col("tag").alias("section")).agg(F.count("*").alias("n"))
+    title = F.concat(F.lit("## "), "section", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    frame = per.select("section", F.inline(F.array(*(F.struct(F.lit(k).alias("part"), x.alias("row")) for k, x in ((0, title), (1, F.lit("")), (3, F.lit("")))))))
+    total = F.concat(F.coalesce(F.sum("n"), F.lit(0)).cast("string"), F.lit(" items"))
+    head = per.agg(total.alias("t")).select(F.lit("").alias("section"), F.inline(F.array(*(F.struct(F.lit(k).alias("part"), x.alias("row")) for k, x in enumerate((F.lit("# Tech debt"), F.lit(""), F.col("t"), F.lit("")))))))
+    none = [F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line")]
+    all_ = rows.unionByName(frame.select("section", "part", *none, "row")).unionByName(head.select("section", "part", *none, "row"))
+    return all_.orderBy("section", "part", "file_path", "line", "row").select("section", "part", "row")
 
 
 def csv_field(c: Column) -> Column:
@@ -221,9 +228,7 @@ def overview(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def exact_duplicates(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(hash, n, members): texts that occur under more than one key; members stay a count where there are too many to list."""
-    d = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.sha2(F.col(text), 256).alias("hash")).distinct()
-    w = W.partitionBy("hash").orderBy("k")
-    n = d.groupBy("hash").agg(F.count("*").alias("n"), F.min("k").alias("first")).filter("n > 1")
-    some = d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= K.MAX_GROUP)
-    return n.join(some.groupBy("hash").agg(F.sort_array(F.collect_list("k")).alias("members")), "hash")
+    """(key, hash, n): every key whose text occurs under others too, with the class of equal texts and its size."""
+    d = texts.filter(F.col(text).isNotNull()).select(key, F.sha2(F.col(text), 256).alias("hash")).distinct()
+    n = d.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    return d.join(n, "hash").select(key, "hash", "n")

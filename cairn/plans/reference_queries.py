@@ -198,21 +198,26 @@ def context_blocks(spark, d):
     return j.select("rank", T.context_block(F.col("rank"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("symbol_name"), F.col("language"), F.col("content")).alias("block"))
 
 
-@query(None)
+_EVAL_SQL = "WITH " + _DOCS_SQL + f""", asks AS (SELECT DISTINCT symbol_name AS question, file_path AS path FROM chunks WHERE id % 50 = 0 AND symbol_name IS NOT NULL AND content IS NOT NULL),
+qt AS (SELECT DISTINCT question, term FROM (SELECT question, unnest({_TOKENS_SQL.format(t="question")}) AS term FROM asks) WHERE NOT list_contains({_STOP}, term) AND replace(term, '_', '') <> ''),
+pp AS (SELECT term, unnest(p) AS tok, generate_subscripts(p, 1) AS k, len(p) AS n FROM (SELECT DISTINCT term, list_filter(string_split(term, '_'), lambda x: x <> '') AS p FROM qt)),
+tk AS (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS pos FROM docs),
+tf AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT term, chunk_id, dl FROM pp JOIN tk USING (tok) GROUP BY term, n, chunk_id, dl, pos - k HAVING count(DISTINCT k) = n) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM docs),
+s AS (SELECT question, chunk_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 20),
+f AS (SELECT a.question, min(r.rank) AS rank FROM r JOIN (SELECT DISTINCT id, file_path FROM chunks) c ON c.id = r.chunk_id JOIN asks a ON a.question = r.question AND a.path = c.file_path GROUP BY 1)
+SELECT 'bm25' AS mode, round(avg(CASE WHEN coalesce(rank, 99) <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_k, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, count(*) AS questions FROM (SELECT DISTINCT question FROM asks) LEFT JOIN f USING (question)"""
+
+
+@query(_EVAL_SQL)
 def eval_hit_mrr(spark, d):
-    """The names of the first symbols as questions, their files as expected answers."""
+    """The symbol names of every fiftieth chunk as questions, their files as expected answers."""
     c = chunks_of(spark, d)
-    some = c.filter("symbol_name is not null and content is not null").select("symbol_name", "file_path").distinct().orderBy("symbol_name", "file_path").limit(3).collect()
-    expected = repository.eval_set(spark, [(r.symbol_name, [r.file_path]) for r in some])
+    asks = c.filter("id % 50 = 0 and symbol_name is not null and content is not null").select(F.col("symbol_name").alias("question"), F.col("file_path").alias("path")).distinct()
     files = c.select(F.col("id").alias("chunk_id"), F.col("file_path").alias("chunk_path")).distinct()
-    hits = None
-    for r in some:
-        for mode in ("hybrid", "bm25", "vector"):
-            h = search.search(c, r.symbol_name, mode, 3).select(F.lit(r.symbol_name).alias("question"), F.lit(mode).alias("mode"), "chunk_id", "rank")
-            hits = h if hits is None else hits.unionByName(h)
-    if hits is None:
-        return spark.createDataFrame([], "mode string, hit_at_k double, mrr double, questions bigint")
-    return search.evaluate(hits.join(files, "chunk_id"), expected, 3)
+    hits = search.bm25_questions(search.documents_of(c), asks)
+    return search.evaluate(hits.withColumn("mode", F.lit("bm25")).join(files, "chunk_id"), asks, 3)
 
 
 # --- chunks ---------------------------------------------------------------------------------------------------------------------
@@ -247,23 +252,23 @@ def embedding_headers(spark, d):
 # --- increments --------------------------------------------------------------------------------------------------------------------
 
 _SNAP = "(SELECT repo_id, path, arg_{}(hash, indexed_at) AS hash FROM files GROUP BY 1, 2)"
+_STATES = f"a AS (SELECT repo_id, file_path AS path, max(file_hash) AS hash FROM chunks WHERE file_hash IS NOT NULL GROUP BY 1, 2), b AS (SELECT * FROM {_SNAP.format('max')})"
 
 
 def _snapshots(spark, d):
-    f = table(spark, d, "files")
-    first = f.groupBy("repo_id", "path").agg(F.min_by("hash", "indexed_at").alias("hash")).filter(F.length("path") % 11 != 0)
-    return first, incremental.current_files(f).filter(F.length("path") % 13 != 0)
+    """What the chunks say is indexed, and the current files."""
+    first = chunks_of(spark, d).filter("file_hash is not null").groupBy("repo_id", F.col("file_path").alias("path")).agg(F.max("file_hash").alias("hash"))
+    return first, incremental.current_files(table(spark, d, "files"))
 
 
-@query(f"""WITH a AS (SELECT * FROM {_SNAP.format('min')} WHERE length(path) % 11 <> 0), b AS (SELECT * FROM {_SNAP.format('max')} WHERE length(path) % 13 <> 0)
-SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
+@query(f"""WITH {_STATES} SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
 FROM a FULL JOIN b ON a.repo_id = b.repo_id AND a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.hash <> b.hash""")
 def index_diff(spark, d):
-    """The first states against the current ones; names of some lengths play files that appeared and vanished."""
+    """The states that were chunked against the current ones."""
     return index.diff(*_snapshots(spark, d))
 
 
-@query(f"WITH a AS (SELECT * FROM {_SNAP.format('min')} WHERE length(path) % 11 <> 0), b AS (SELECT * FROM {_SNAP.format('max')} WHERE length(path) % 13 <> 0) SELECT * FROM b UNION ALL SELECT a.* FROM a ANTI JOIN b ON a.repo_id = b.repo_id AND a.path = b.path")
+@query(f"WITH {_STATES} SELECT * FROM b UNION ALL SELECT a.* FROM a ANTI JOIN b ON a.repo_id = b.repo_id AND a.path = b.path")
 def index_upsert(spark, d):
     a, b = _snapshots(spark, d)
     return index.upsert(a, b.select("repo_id", "path", "hash"), ["repo_id", "path"])
@@ -298,10 +303,9 @@ def _is_folder(spark, path: str) -> bool:
 # --- clones and clusters ---------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT DISTINCT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL), g AS (SELECT hash, count(*) AS n, min(doc_id) AS first, list_sort(list(doc_id))[1:40] AS m FROM t GROUP BY 1 HAVING count(*) > 1)
-SELECT hash, n, first, array_to_string(m, ',') AS members FROM g""")
+@query("WITH t AS (SELECT DISTINCT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL) SELECT * FROM (SELECT doc_id, hash, count(*) OVER (PARTITION BY hash) AS n FROM t) WHERE n > 1")
 def exact_duplicate_texts(spark, d):
-    return listings.exact_duplicates(table(spark, d, "documents"), "doc_id", "text").select("hash", "n", "first", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return listings.exact_duplicates(table(spark, d, "documents"), "doc_id", "text")
 
 
 def _function_vectors(spark, d):
@@ -324,22 +328,19 @@ def complete_linkage_groups(spark, d):
     return g.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "avg_similarity")
 
 
-@query("""WITH e AS (SELECT vec_id, label FROM embeddings) SELECT count(*) AS vectors FROM (SELECT vec_id FROM e ORDER BY vec_id LIMIT 300)""")
-def cluster_topics_size(spark, d):
-    """Every vector of the first 300 gets a cluster (the clusters themselves: ``cluster_topics``)."""
-    return cluster_topics(spark, d).agg(F.count("*").alias("vectors"))
+def _boards(spark, d):
+    return table(spark, d, "embeddings").select(F.col("label").alias("board"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 @query(None)
 def cluster_topics(spark, d):
-    e = table(spark, d, "embeddings").orderBy("vec_id").limit(300)  # a board's exact clustering takes at most 600 items
-    return clones.cluster_vectors(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.3)
+    """The vectors of each label as one board."""
+    return clones.cluster_boards(_boards(spark, d), 0.3)
 
 
 @query(None)
 def cluster_topics_greedy(spark, d):
-    e = table(spark, d, "embeddings")
-    return clones.cluster_vectors(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 0.3, exact_limit=0)
+    return clones.cluster_boards(_boards(spark, d), 0.3, exact_limit=0)
 
 
 _LSTOP = "[" + ", ".join(f"'{w}'" for w in K.LABEL_STOPWORDS) + "]"
@@ -548,7 +549,7 @@ def env_example(spark, d):
     return listings.env_example(listings.env_variables(table(spark, d, "env_vars")))
 
 
-_DEBT = """items AS (SELECT ['TODO', 'FIXME', 'HACK', 'XXX', 'BUG', 'NOTE'][1 + doc_id % 5] AS tag, left(replace(coalesce(text, ''), chr(10), ' '), 30) AS text, coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/' || doc_id || '.md' AS file_path, (1 + doc_id % 90)::INT AS line,
+_DEBT = """items AS (SELECT ['TODO', 'FIXME', 'HACK', 'XXX', 'BUG', 'NOTE'][1 + doc_id % 5] AS tag, replace(coalesce(text, ''), chr(10), ' ') AS text, coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/' || doc_id || '.md' AS file_path, (1 + doc_id % 90)::INT AS line,
   epoch(updated_at)::DOUBLE AS commit_date, coalesce(source, '') AS author FROM documents)"""
 
 
@@ -556,7 +557,7 @@ def _debt(spark, d):
     x = table(spark, d, "documents")
     tag = F.element_at(F.array(*map(F.lit, K.DEBT_TAGS)), (F.col("doc_id") % 5 + 1).cast("int"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("xx")), F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
-    return x.select(tag.alias("tag"), F.left(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(30)).alias("text"), path.alias("file_path"), (F.col("doc_id") % 90 + 1).cast("int").alias("line"), F.unix_timestamp(F.col("updated_at").cast("timestamp")).cast("double").alias("commit_date"), F.coalesce("source", F.lit("")).alias("author"), F.lit("").alias("symbol"), F.lit("").alias("assignee"))
+    return x.select(tag.alias("tag"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("text"), path.alias("file_path"), (F.col("doc_id") % 90 + 1).cast("int").alias("line"), F.unix_timestamp(F.col("updated_at").cast("timestamp")).cast("double").alias("commit_date"), F.coalesce("source", F.lit("")).alias("author"), F.lit("").alias("symbol"), F.lit("").alias("assignee"))
 
 
 @query(f"WITH {_DEBT}, dim(key, position) AS (VALUES ('TODO', 0), ('FIXME', 1), ('HACK', 2), ('XXX', 3), ('BUG', 4), ('NOTE', 5)) SELECT position, key, count(tag) AS count FROM dim LEFT JOIN items ON tag = key GROUP BY 1, 2")
@@ -586,9 +587,10 @@ def debt_filtered(spark, d):
     return listings.debt_items(_debt(spark, d), NOW, tag="hack", q="Wiki", older_than_days=100).select("file_path", "line")
 
 
-@query(f"""WITH {_DEBT}, l AS (SELECT tag, file_path, line, '- ' || CASE WHEN text = '' THEN '(no text)' ELSE text END || ' `' || file_path || ':' || line || '`' || CASE WHEN author <> '' THEN ' (' || author || ')' ELSE '' END AS s FROM items),
-g AS (SELECT tag, '## ' || tag || ' (' || count(*) || ')' || chr(10) || chr(10) || string_agg(s, chr(10) ORDER BY file_path, line, s) || chr(10) AS b, count(*) AS n FROM l GROUP BY 1)
-SELECT '# Tech debt' || chr(10) || chr(10) || sum(n)::BIGINT || ' items' || chr(10) || chr(10) || string_agg(b, chr(10) ORDER BY tag) AS text FROM g""")
+@query(f"""WITH {_DEBT}, n AS (SELECT tag, count(*) AS n FROM items GROUP BY 1)
+SELECT tag AS section, 2 AS part, '- ' || CASE WHEN text = '' THEN '(no text)' ELSE text END || ' `' || file_path || ':' || line || '`' || CASE WHEN author <> '' THEN ' (' || author || ')' ELSE '' END AS row FROM items
+UNION ALL SELECT tag, 0, '## ' || tag || ' (' || n || ')' FROM n UNION ALL SELECT tag, 1, '' FROM n UNION ALL SELECT tag, 3, '' FROM n
+UNION ALL SELECT '', 0, '# Tech debt' UNION ALL SELECT '', 1, '' UNION ALL SELECT '', 2, (SELECT count(*) FROM items) || ' items' UNION ALL SELECT '', 3, ''""")
 def export_debt_markdown(spark, d):
     return listings.debt_markdown(listings.debt_items(_debt(spark, d), NOW))
 
@@ -610,7 +612,7 @@ def overview_counts(spark, d):
 
 def _messages(spark, d):
     x = table(spark, d, "documents").filter("repo_id is not null")
-    return x.select(F.col("doc_id").alias("id"), F.col("repo_id").alias("conversation_id"), F.when(F.col("doc_id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.left(F.coalesce("text", F.lit("")), F.lit(50)).alias("content"), F.lit(None).cast("string").alias("meta"), F.col("doc_id").cast("double").alias("created_at"))
+    return x.select(F.col("doc_id").alias("id"), F.col("repo_id").alias("conversation_id"), F.when(F.col("doc_id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast("string").alias("meta"), F.col("doc_id").cast("double").alias("created_at"))
 
 
 @query("SELECT id, conversation_id FROM (SELECT doc_id AS id, repo_id AS conversation_id, row_number() OVER (PARTITION BY repo_id ORDER BY doc_id DESC) AS k FROM documents WHERE repo_id IS NOT NULL) WHERE k <= 4")

@@ -234,7 +234,7 @@ def test_debt_board(spark):
     assert [r.key for r in listings.debt_groups(d, "folder").orderBy("key").collect()] == ["(root)", "x", "x/y"]
     with pytest.raises(ValueError):
         listings.debt_groups(d, "colour")
-    assert listings.debt_markdown(d).first()[0] == "# Tech debt\n\n3 items\n\n## BUG (1)\n\n- (no text) `m.py:2`\n\n## OTHER (1)\n\n- c `x/q.py:3`\n\n## TODO (1)\n\n- a `x/y/z.py:1` (ann)\n"
+    assert "\n".join(r.row for r in listings.debt_markdown(d).collect()) + "\n" == "# Tech debt\n\n3 items\n\n## BUG (1)\n\n- (no text) `m.py:2`\n\n## OTHER (1)\n\n- c `x/q.py:3`\n\n## TODO (1)\n\n- a `x/y/z.py:1` (ann)\n\n"
     assert [r.row for r in listings.debt_csv(d).collect()] == ["BUG,,m.py,2,,,,", "OTHER,c,x/q.py,3,,,,", "TODO,a,x/y/z.py,1,,ann,,40"]
 
 
