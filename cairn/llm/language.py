@@ -1,14 +1,17 @@
 """Languages of documents and of the segments of mixed ones: a linear-chain conditional random field over words.
 
-Every word of a text gets one of the labels of ``LANGUAGES`` or ``x`` (no prose). Its features are its affixes, its
-character n-grams, lexicon scores (how often each language's training text uses it) and the kind of line it stands in;
-transitions between labels are learned. Forward-backward gives each word's label probabilities, so that a passage of a
-few sentences inside another language comes out as a segment of its own, with the mean probability as confidence.
+Every word of a text gets one of the model's languages or no prose as its label. The languages are those of the lexicon and
+every other one that the corpus' labels name often enough and its sentences bear out. A word's features are its affixes, its
+character n-grams, lexicon scores (how often each language's training text uses it) and the kind of line it stands in (prose,
+code or log by its look; what that tells is learned); transitions between labels are learned. Forward-backward gives each
+word's label probabilities, so that a passage of a few sentences inside another language comes out as a segment of its own,
+with the mean probability as confidence.
 
 Training takes a bounded sample (``train_docs`` labelled documents in hash order, of at most ``train_chars`` characters
-each) on the driver. Labels of documents are noisy and documents mixed, so the labels are only a start: lexicon counts
-from them label sentences, and the sentences' labels, twice re-estimated, train the field. Everything else covers all
-rows and whole texts.
+each, and ``sentences`` of their sentences for the field) on the driver. Long texts are read in windows of ``CHAIN`` words
+that reach ``SEAM`` words into their neighbours. Labels of documents are noisy and documents mixed, so the labels are only a
+start: lexicon counts from them label sentences, and the sentences' labels, twice re-estimated, train the field. Everything
+else covers all rows and whole texts.
 
 Fenced blocks, inline code, paths, references and identifiers are no words. A language counts as present with a run of at
 least ``MIN_RUN`` of its words of a mean probability of ``MIN_CONFIDENCE``.
@@ -41,13 +44,10 @@ FUNCTION_WORDS = {
     "ru": "и в не на с когда после каждый этот наш все до что это как",
 }
 LANGUAGES = list(FUNCTION_WORDS)
-LABELS = [*LANGUAGES, "x"]
-X = len(LANGUAGES)
-N = len(LABELS)
 MIN_RUN = 4
 MIN_CONFIDENCE = 0.9
 BUCKETS = 1 << 14
-CHAIN = 192
+CHAIN, SEAM = 192, 32
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -114,14 +114,15 @@ def _hashed(word: str) -> list[int]:
 
 
 class Model:
-    """Weights of the field; small (some 0.6 MB), sent to the workers as it is."""
+    """Weights of the field; small (some 0.6 MB), sent to the workers as it is. Its last label is no prose."""
 
-    def __init__(self, counts: np.ndarray, vocabulary: dict[str, int], hashed: np.ndarray, lexicon: np.ndarray, kinds: np.ndarray, start: np.ndarray, moves: np.ndarray):
+    def __init__(self, languages: list[str], counts: np.ndarray, vocabulary: dict[str, int], hashed: np.ndarray, lexicon: np.ndarray, kinds: np.ndarray, start: np.ndarray, moves: np.ndarray):
+        self.languages = languages
         self.counts, self.vocabulary, self.hashed, self.lexicon, self.kinds, self.start, self.moves = counts, vocabulary, hashed, lexicon, kinds, start, moves
 
     def scores(self, word: str) -> np.ndarray:
         w = word.lower()
-        h = _hashed(w[:40])
+        h = _hashed(w)
         s = self.hashed[h].sum(axis=0) / np.sqrt(len(h))
         at = self.vocabulary.get(w)
         return s + (self.counts[at] if at is not None else self.counts[-1]) * self.lexicon
@@ -130,16 +131,27 @@ class Model:
 def _log_odds(counts: np.ndarray) -> np.ndarray:
     """Lexicon scores of every word: log share per language, centred; x scores 0."""
     share = np.log((counts + 0.05) / (counts.sum(axis=0) + 50))
-    out = np.zeros((len(counts), N))
-    out[:, :X] = share - share.mean(axis=1, keepdims=True)
+    out = np.zeros((len(counts), counts.shape[1] + 1))
+    out[:, :-1] = share - share.mean(axis=1, keepdims=True)
     return np.clip(out, -8, 8)
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 60, seed: int = 3) -> Model:
-    """From (language code or anything else, text) rows."""
+def train(rows: list[tuple[str, str]], epochs: int = 60, seed: int = 3, sentences: int = 6000, least: int = 20) -> Model:
+    """From (language code or anything else, text) rows, of whose sentences ``sentences`` are drawn for the field.
+
+    Languages are those of the lexicon and every other code that ``least`` documents carry, unless its words are those of a
+    language with more documents: such a code is a wrong label."""
+    seen = Counter(lang for lang, _ in rows if re.fullmatch(r"[a-z]{2,3}", lang or ""))
+    languages = [*LANGUAGES, *sorted(c for c, n in seen.items() if n >= least and c not in LANGUAGES)]
+    model, wrong = _train(rows, languages, epochs, seed, sentences)
+    return model if not wrong else _train(rows, [c for c in languages if c not in wrong], epochs, seed, sentences)[0]
+
+
+def _train(rows: list[tuple[str, str]], languages: list[str], epochs: int, seed: int, sentences: int) -> tuple[Model | None, set[str]]:
+    X, N = len(languages), len(languages) + 1  # noqa: N806
     vocabulary: dict[str, int] = {}
-    docs = [(LANGUAGES.index(lang) if lang in LANGUAGES else -1, [(kind, [w.lower() for w in ws]) for kind, ws in _sentences(text)]) for lang, text in rows]
-    prior = [(i, w) for i, (_, ws) in enumerate(FUNCTION_WORDS.items()) for w in ws.split()]
+    docs = [(languages.index(lang) if lang in languages else -1, [(kind, [w.lower() for w in ws]) for kind, ws in _sentences(text)]) for lang, text in rows]
+    prior = [(languages.index(c), w) for c, ws in FUNCTION_WORDS.items() for w in ws.split()]
     for _, sents in docs:
         for kind, ws in sents:
             for w in ws:
@@ -158,6 +170,13 @@ def train(rows: list[tuple[str, str]], epochs: int = 60, seed: int = 3) -> Model
                     for w in set(ws):
                         counts[vocabulary[w], lang] += 1
     labels: list[tuple[int, list[int], int]] = []
+    share = counts - base
+    share = share / np.maximum(np.linalg.norm(share, axis=0), 1e-9)
+    alike = share.T @ share
+    size = np.bincount([d for d, _ in docs if d >= 0], minlength=X)
+    wrong = {c for i, c in enumerate(languages) if c not in LANGUAGES and any(alike[i, j] > 0.8 and (size[j], -j) > (size[i], -i) for j in range(X) if j != i)}
+    if wrong:
+        return None, wrong
     for _ in range(3):  # label sentences, count again
         odds, new, labels = _log_odds(counts)[:, :X], base.copy(), []
         for _, sents in docs:
@@ -182,13 +201,18 @@ def train(rows: list[tuple[str, str]], epochs: int = 60, seed: int = 3) -> Model
     names = [None] * v
     for w, i in vocabulary.items():
         names[i] = w
-    flat_h = [_hashed(w[:40]) for w in names]
+    flat_h = [_hashed(w) for w in names]
     h_rows = np.repeat(np.arange(v), [len(h) for h in flat_h])
     h_cols = np.fromiter((x for h in flat_h for x in h), np.int64)
     h_val = 1 / np.sqrt(np.array([len(h) for h in flat_h]))[h_rows]
 
     # chains: some sentences one after the other, as they may follow in a mixed text
-    order = rng.permutation(len(labels))[:6000]
+    order = rng.permutation(len(labels))[:sentences]
+    for kind in (1, 2):  # where the sample shows few lines of code or logs: any words in such a line are no prose
+        if sum(labels[i][2] == kind for i in order) < 40:
+            order = np.append(order, np.arange(len(labels), len(labels) + 80))
+            labels = labels + [(X, rng.choice(v, 6).tolist(), kind) for _ in range(80)]
+    order = rng.permutation(order)
     chains, at = [], 0
     while at < len(order):
         k = int(rng.integers(1, 4))
@@ -233,7 +257,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 60, seed: int = 3) -> Model
             theta[k] = theta[k] - 0.1 * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(s[k] / (1 - 0.99**epoch)) + 1e-8)
     keep = {w: i for w, i in vocabulary.items() if counts[i].any()}
     table = np.concatenate([odds[list(keep.values())], odds[-1:]]).astype(np.float32)
-    return Model(table, {w: k for k, w in enumerate(keep)}, theta["hashed"].astype(np.float32), theta["lexicon"], theta["kinds"], theta["start"], theta["moves"])
+    return Model(languages, table, {w: k for k, w in enumerate(keep)}, theta["hashed"].astype(np.float32), theta["lexicon"], theta["kinds"], theta["start"], theta["moves"]), set()
 
 
 def _pad(chains):
@@ -280,7 +304,7 @@ class Labeller:
     def __init__(self, model: Model, memo: int = 200_000):
         self.model, self.limit = model, memo
         self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, N))
+        self.table = np.zeros((1024, len(model.start)))
 
     def _row(self, w: str) -> int:
         k = self.at.get(w)
@@ -297,14 +321,17 @@ class Labeller:
         if len(self.at) > self.limit:
             self.at.clear()
         chains: list[tuple[int, list[int], list[int]]] = []
+        keep: list[tuple[int, int]] = []
         for d, text in enumerate(texts):
             ids: list[int] = []
             kinds: list[int] = []
             for kind, ws in read_lines(text):
                 ids += [self._row(w) for w in ws]
                 kinds += [kind] * len(ws)
-            for i in range(0, len(ids), CHAIN):  # one document's chains follow each other in the result
-                chains.append((d, ids[i : i + CHAIN], kinds[i : i + CHAIN]))
+            for i in range(0, len(ids), CHAIN):  # one document's chains follow each other; each reads beyond its seams
+                a, z = max(0, i - SEAM), i + CHAIN + SEAM
+                chains.append((d, ids[a:z], kinds[a:z]))
+                keep.append((i - a, min(CHAIN, len(ids) - i)))
         post: list[np.ndarray | None] = [None] * len(chains)
         order = sorted(range(len(chains)), key=lambda k: len(chains[k][1]))
         m = self.model
@@ -313,23 +340,22 @@ class Labeller:
             words, kinds, _, mask = _pad([list(zip(chains[k][1], chains[k][2], chains[k][2])) for k in some])
             p = forward_backward(self.table[words] + m.kinds[kinds], mask, m.start, m.moves)
             for row, k in enumerate(some):
-                post[k] = p[row, : len(chains[k][1])]
-                code = np.array(chains[k][2]) > 0  # these lines are context for their neighbours, never prose
-                post[k][code] = np.eye(N)[X]
+                a, n = keep[k]
+                post[k] = p[row, a : a + n]
         by_doc: list[list[np.ndarray]] = [[] for _ in texts]
         for (d, _, _), p in zip(chains, post):
             by_doc[d].append(p)
-        return [_runs(np.concatenate(ps)) if ps else [] for ps in by_doc]
+        return [_runs(np.concatenate(ps), m.languages) if ps else [] for ps in by_doc]
 
 
-def _runs(post: np.ndarray) -> list[tuple[str, int, float]]:
+def _runs(post: np.ndarray, languages: list[str]) -> list[tuple[str, int, float]]:
     best = post.argmax(axis=1)
     top = post.max(axis=1)
     edges = np.flatnonzero(np.diff(best)) + 1
     out: list[tuple[str, int, float]] = []
     for a, b in zip([0, *edges], [*edges, len(best)]):
-        if best[a] != X and b - a >= MIN_RUN:
-            lang, n, conf = LANGUAGES[best[a]], int(b - a), float(top[a:b].mean())
+        if best[a] != len(languages) and b - a >= MIN_RUN:
+            lang, n, conf = languages[best[a]], int(b - a), float(top[a:b].mean())
             if conf < MIN_CONFIDENCE:
                 continue
             if out and out[-1][0] == lang:
@@ -341,7 +367,7 @@ def _runs(post: np.ndarray) -> list[tuple[str, int, float]]:
 
 def fit(documents: DataFrame, train_docs: int = 4000, train_chars: int = 20_000) -> Model:
     """Train on a bounded sample of labelled documents in hash order."""
-    d = thinned(documents.select("doc_id", "text", "lang"), "doc_id", train_docs).filter(F.lower("lang").isin(LANGUAGES) & (F.length("text") <= train_chars))
+    d = thinned(documents.select("doc_id", "text", "lang"), "doc_id", train_docs).filter((F.trim("lang") != "") & (F.length("text") <= train_chars))
     rows = d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select(F.lower("lang"), "text").toArrow()
     return train(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
 

@@ -464,6 +464,17 @@ def test_segments_of_mixed_and_odd_texts(language_model):
     assert {s[0] for s in got[7]} == {"de"}
 
 
+def test_languages_are_learned_from_labels():
+    rng = random.Random(5)
+    polish = ["Stary klient nie znajduje pierwszego dopasowania.", "Ta funkcja zastępuje cały katalog przed rozpoczęciem budowania.", "Każde repozytorium zwraca teraz nieaktualne wiersze."]
+    rows_ = [(lang, " ".join(rng.choices(ss, k=3))) for lang, ss in (SENTENCES | {"pl": polish}).items() for _ in range(40)]
+    rows_ += [("zz", " ".join(rng.choices(SENTENCES["en"], k=3))) for _ in range(25)]  # a label that means nothing
+    model = language.train(rows_, epochs=40)
+    assert "pl" in model.languages and "zz" not in model.languages
+    got = language.Labeller(model).segments([" ".join(polish), " ".join(SENTENCES["en"]), " ".join(polish[:2] * 60 + SENTENCES["de"] * 40)])
+    assert [[s[0] for s in x] for x in got] == [["pl"], ["en"], ["pl", "de"]]
+
+
 def test_label_errors(spark, language_model):
     en, de = " ".join(SENTENCES["en"]), " ".join(SENTENCES["de"])
     df = spark.createDataFrame([(1, en, "en", 0), (2, en, None, 0), (3, de, "fr", 0), (4, f"{en}\n\n{de}", "en", 0), (5, None, None, 0), (6, "", "de", 0), (2, en, None, 0), (7, en, "", 0)], "doc_id bigint, text string, lang string, words int")
