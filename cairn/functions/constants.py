@@ -17,6 +17,7 @@ SECRET_TOKENS = ["KEY", "TOKEN", "SECRET", "PASSWORD", "PASSWD", "PWD", "CREDENT
 BENIGN_TOKENS = ["TTL", "EXPIRES", "EXPIRY", "EXPIRATION", "TIMEOUT", "DURATION", "LIFETIME", "SECONDS", "MINUTES", "HOURS", "DAYS", "LENGTH", "SIZE", "COUNT", "ENABLED", "ENABLE", "ALGORITHM", "HEADER", "PREFIX", "MAX", "MIN", "LIMIT", "ROUNDS", "ITERATIONS"]
 CREDENTIAL_URL = r"://[^/\s:@]+:[^/\s@]+@"
 DEBT_TAGS = ["TODO", "FIXME", "HACK", "XXX", "BUG", "NOTE"]
+DOC_MARKS = {"javascript": ("/**",), "typescript": ("/**",), "tsx": ("/**",), "go": ("//", "/*"), "java": ("/**",), "csharp": ("///", "/**")}
 DEBT_STYLES = {  # where a tag stands in a line, and the sign between it and its text
     "comment": (r"^[\s/*#\-;!<>]*", r"\s*[:\-–—]?\s*"),
     "marked": (r"(?:(?:^|\s)(?://+|#+|--+|;+|/\*+|<!--)|^\s*\*)\s*", r"\s*[:\-–—]?\s*"),

@@ -251,6 +251,9 @@ _DEFS = {
 _DEFS["typescript"] = _DEFS["tsx"] = _DEFS["javascript"]
 
 
+_ATTRIBUTE = re.compile(r"^[ \t]*(?:\[[^\]]*\][ \t]*)*\[[^\]]*$")
+
+
 def _end_of(sc: Scanned, at: int) -> int:
     """End of a definition that begins before ``at``: its body's bracket, else the end of the statement."""
     i, code, n = at, sc.code, len(sc.code)
@@ -305,7 +308,9 @@ def _scan(language: str, source: str) -> dict:
         d["qualified"] = f"{owner or holder['qualified']}.{d['name']}" if (owner or holder) else d["name"]
         first = sc.line(d["start"])
         before = [c for c in sc.comments if c[0] < d["start"]]
-        has_doc = bool(before) and sc.code[before[-1][0] : d["start"]].strip() in ("", "export", "export default") or bool(before) and not re.sub(r"(?:@\w+(?:\([^)]*\))?|\[[^\]]*\]|export|default|public|abstract|static|async|const|\s)", "", sc.code[before[-1][0] : d["start"]])
+        doc = before[-1] if before else None
+        near = doc is not None and doc[1].startswith(K.DOC_MARKS[language]) and sc.line(doc[0] + len(doc[1].rstrip())) >= first - 1
+        has_doc = near and sc.code[before[-1][0] : d["start"]].strip() in ("", "export", "export default") or near and not re.sub(r"(?:@\w+(?:\([^)]*\))?|\[[^\]]*\]|export|default|public|abstract|static|async|const|\s)", "", sc.code[before[-1][0] : d["start"]])
         head = sc.source[d["start"] : d["at"] + 300].split("{")[0]
         notes = set(re.findall(r"[@\[]\s*(\w+)", sc.source[max(0, d["start"] - 200) : d["at"]])) if language in ("java", "csharp") else set()
         symbols.append({
@@ -330,6 +335,8 @@ def _scan(language: str, source: str) -> dict:
             nxt += 1
         while around and around[-1]["end"] < at:
             around.pop()
+        if language == "java" and code[at - 1 : at] == "@" or language == "csharp" and _ATTRIBUTE.search(code[code.rfind("\n", 0, at) + 1 : at]):
+            continue  # an annotation's arguments are no call
         inside = [d for d in around if d["end"] >= at]
         recv = re.sub(r"[\s?]", "", m["recv"] or "").rstrip(".") or None
         calls.append({"from": inside[-1]["qualified"] if inside else None, "to": name, "receiver": recv, "kind": "call", "line": sc.line(m.start("name"))})
