@@ -278,13 +278,21 @@ def citations(answer: Column, n_sources: Column) -> Column:
     return F.array_distinct(F.filter(numbers, lambda x: (x >= 1) & (x <= n_sources)))
 
 
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends (``trim`` knows the blank only)."""
+    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+
+
 def strip_reasoning(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<think>.*?(</think>|$)", ""))
+    return strip(F.regexp_replace(text, r"(?s)<think>.*?(</think>|$)", ""))
 
 
 def usable_summary(text: Column) -> Column:
     """The text without closed reasoning, if it is 2 to 8 plain sentences of at most 900 characters; else null."""
-    t = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    t = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
     n = F.size(F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != ""))
     bad = t.contains("```") | t.contains("**") | t.rlike(r"(?m)^\s*(\d+[.)]|[-*•])\s")
     return F.when((n >= 2) & (n <= 8) & (F.length(t) <= 900) & ~bad, t)
@@ -292,15 +300,15 @@ def usable_summary(text: Column) -> Column:
 
 def clean_label(raw: Column) -> Column:
     """First line of an answer as a label: at most 40 characters and 5 words, no brackets, capitalised; else null."""
-    line = F.regexp_replace(F.split(F.trim(raw), LINE_END)[0], r"^[\"'`*. :-]+|[\"'`*. :-]+$", "")
-    line = F.trim(F.regexp_replace(line, "^Label:", ""))
+    line = F.regexp_replace(F.split(strip(raw), LINE_END)[0], r"^[\"'`*. :-]+|[\"'`*. :-]+$", "")
+    line = strip(F.regexp_replace(line, "^Label:", ""))
     fine = (line != "") & (F.length(line) <= 40) & (F.size(F.split(line, r"\s+")) <= 5) & ~line.rlike(r"[{}\[\]<>]")
     return F.when(fine, F.concat(F.upper(F.substring(line, 1, 1)), F.substring(line, 2, 100)))
 
 
 def mermaid_label(text: Column, limit: int = 44) -> Column:
     """White space collapsed, the tail kept with an ellipsis, the characters Mermaid reads escaped; '?' if empty."""
-    t = F.trim(F.regexp_replace(text, r"\s+", " "))
+    t = strip(F.regexp_replace(text, f"(?U){SPACE}+", " "))
     t = F.when(F.length(t) > limit, F.concat(F.lit("…"), F.right(t, F.lit(limit - 1)))).otherwise(t)
     t = F.replace(t, F.lit("%%"), F.lit("%"))
     for c, e in (("#", "#35;"), ('"', "#quot;"), ("<", "#lt;"), (">", "#gt;"), ("&", "#amp;"), ("|", "#124;")):
@@ -356,4 +364,4 @@ def create_title(text: Column) -> Column:
 
 
 def rename_title(text: Column) -> Column:
-    return F.substring(F.trim(text), 1, 120)
+    return F.substring(strip(text), 1, 120)

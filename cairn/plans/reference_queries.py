@@ -114,11 +114,6 @@ def answer_texts(spark, d):
     return a.select("id", F.array_join(T.citations(F.col("answer"), F.col("n")), ",").alias("cited"), T.strip_reasoning(F.col("answer")).alias("plain"))
 
 
-@query("SELECT id, id IN (2, 4) AS usable FROM (VALUES " + ", ".join(f"({i})" for i, *_ in _ANSWERS) + ") v(id)")
-def usable_summaries(spark, d):
-    return spark.createDataFrame(_ANSWERS, "id int, answer string, n int").select("id", T.usable_summary(F.col("answer")).isNotNull().alias("usable"))
-
-
 # --- search -----------------------------------------------------------------------------------------------------------------
 
 _DOCS_SQL = """docs AS (SELECT chunk_id, list_filter(regexp_split_to_array(array_to_string(toks, ' '), '[ _]+'), lambda x: x <> '') AS tokens FROM (
