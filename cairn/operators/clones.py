@@ -137,6 +137,29 @@ def not_in_exact(similar: DataFrame, exact: DataFrame) -> DataFrame:
     return s.join(inside.select("gid").distinct(), "gid", "left_anti").drop("gid")
 
 
+def function_vectors(symbols: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Functions and methods with the vector of the chunk on exactly their lines: what ``similar_pairs`` reads."""
+    c = chunks.filter(F.col("embedding").isNotNull()).select("repo_id", "file_path", "start_line", "end_line", F.col("embedding").alias("vector")).dropDuplicates(["repo_id", "file_path", "start_line", "end_line"])
+    s = symbols.filter(F.col("kind").isin("function", "method")).select("id", "repo_id", "file_path", "start_line", "end_line")
+    return s.join(c, ["repo_id", "file_path", "start_line", "end_line"]).select("id", "vector", F.concat_ws("/", "repo_id", "file_path").alias("file_path"), "start_line", "end_line", (F.col("end_line") - F.col("start_line")).alias("span"))
+
+
+def duplicate_groups(symbols: DataFrame, pairs: DataFrame, threshold: float = K.DEFAULT_SIMILARITY, kind: str = "all") -> DataFrame:
+    """(type, members, size, duplicated_lines, avg_similarity, value): exact groups, and similar ones not wholly inside one of
+    them, the most valuable first, then the most similar, then by the first member's file."""
+    if kind not in ("all", "exact", "similar"):
+        raise ValueError(f"unknown kind {kind}")
+    s = eligible(symbols)
+    exact = exact_groups(s.filter("norm_hash is not null"))
+    near = not_in_exact(linkage_groups(pairs.join(s.select(F.col("id").alias("a")), "a", "left_semi").join(s.select(F.col("id").alias("b")), "b", "left_semi"), threshold), exact)
+    m = near.withColumn("gid", F.xxhash64("members")).select("gid", "avg_similarity", F.explode("members").alias("id")).join(s.select("id", "file_path", "start_line", "end_line").dropDuplicates(["id"]), "id")
+    near = group_metrics(m.groupBy("gid", "avg_similarity").agg(F.array_sort(F.collect_list(F.struct("file_path", "start_line", "end_line", "id"))).alias("members")))
+    cols = ["type", "members", "size", "duplicated_lines", "avg_similarity", "value"]
+    parts = {"exact": exact.withColumn("avg_similarity", F.lit(1.0)).withColumn("type", F.lit("exact")).select(cols), "similar": near.withColumn("type", F.lit("similar")).select(cols)}
+    d = parts[kind] if kind != "all" else parts["exact"].unionByName(parts["similar"])
+    return d.orderBy(F.desc("value"), F.desc("avg_similarity"), F.col("members")[0]["file_path"])
+
+
 # --- topics -------------------------------------------------------------------------------------------------------------
 
 

@@ -13,10 +13,10 @@ MODULE_NODES, FLOW_NODES = 40, 30
 def modules(edges: DataFrame, scope: str = "", limit: int = MODULE_NODES) -> tuple[str, DataFrame]:
     """(text, edges drawn) of file edges (src, dst, weight): the finest level with at most ``limit`` nodes, else the
     nodes of most weight."""
-    limit = max(5, min(100, limit))
+    limit, scope = max(5, min(100, limit)), scope.strip().strip("/")
     drawn, truncated = None, False
     for depth in (None, 3, 2, 1):
-        drawn = graph.collapse(edges, scope, depth)
+        drawn = graph.collapse(edges, scope, depth, scope.count("/") + 1)
         if graph.degrees(drawn).count() <= limit:
             break
     else:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.functions import constants as K, text as T
 from cairn.session import cut
@@ -104,13 +104,14 @@ def module_graph(imports: DataFrame, level: str = "file") -> DataFrame:
 
 
 def collapse(edges: DataFrame, scope: str = "", depth: int | None = None, external_depth: int = 1) -> DataFrame:
-    """(src, dst, weight) of file edges cut to ``depth`` folders inside the scope and ``external_depth`` outside."""
+    """(src, dst, weight) of file edges cut to ``depth`` folders inside the scope and ``external_depth`` outside; edges that
+    begin outside the scope are left out."""
 
     def key(c: str):
         inside = F.col(c) if depth is None else T.key_at(F.col(c), depth)
         return F.when(T.in_scope(F.col(c), scope), inside).otherwise(T.key_at(F.col(c), external_depth)) if scope else inside
 
-    d = edges.filter(T.in_scope(F.col("src"), scope) | T.in_scope(F.col("dst"), scope)) if scope else edges
+    d = edges.filter(T.in_scope(F.col("src"), scope)) if scope else edges
     return d.select(key("src").alias("src"), key("dst").alias("dst"), "weight").filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
@@ -168,3 +169,11 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def top_degree(edges: DataFrame, limit: int) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "node").limit(limit)
+
+
+def top_callers(symbols: DataFrame, references: DataFrame, n: int = 3) -> DataFrame:
+    """(id, callers): for every symbol the names of up to ``n`` of its direct callers, tests last, then by file and line."""
+    by = symbols.select(F.col("id").alias("from_symbol_id"), "qualified_name", "is_test", F.col("file_path").alias("_f"), "start_line")
+    d = references.filter(F.col("kind").isin("call", "inherit") & F.col("to_symbol_id").isNotNull()).select(F.col("to_symbol_id").alias("id"), "from_symbol_id").distinct().join(by, "from_symbol_id")
+    d = d.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("is_test", "_f", "start_line", "from_symbol_id"))).filter(F.col("k") <= n)
+    return d.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "qualified_name"))).alias("c")).select("id", F.transform("c", lambda x: x["qualified_name"]).alias("callers"))

@@ -8,6 +8,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, functions as F
 
+from cairn.functions import text as T
+
 SCHEMA_VERSION = 7
 
 
@@ -101,3 +103,17 @@ class Settings:
             return cls().update(json.loads(text or "{}"))
         except (ValueError, TypeError):
             return cls()
+
+
+def chunk_preview(chunks: DataFrame, sources: DataFrame, context: int = 30) -> DataFrame:
+    """(id, first, last, shown, stale) of chunks (id, repo_id, file_path, start_line, end_line, content) whose file is there:
+    the lines around each chunk as they are now, and whether its own lines differ from what was stored."""
+    c = chunks.select("id", "repo_id", F.col("file_path").alias("path"), "start_line", "end_line", "content").dropna().dropDuplicates(["id"])
+    s = sources.filter(F.col("content").isNotNull()).select("repo_id", "path", T.lines_of(F.col("content")).alias("lines"))
+    j = c.join(s, ["repo_id", "path"]).withColumn("first", F.greatest(F.col("start_line") - context, F.lit(1))).withColumn("last", F.least(F.col("end_line") + context, F.size("lines")))
+
+    def part(a, b):
+        return F.array_join(F.slice("lines", a, F.greatest(b - a + 1, F.lit(0))), "\n")
+
+    stale = part(F.col("start_line"), F.col("end_line")) != F.array_join(T.lines_of(F.col("content")), "\n")
+    return j.select("id", "first", "last", part(F.col("first"), F.col("last")).alias("shown"), stale.alias("stale"))

@@ -227,6 +227,16 @@ def overview(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def symbol_rows(symbols: DataFrame, ids: list[int]) -> DataFrame:
+    """The undocumented symbols among ``ids``."""
+    return symbols.filter(F.col("id").isin(ids) & ~F.col("has_doc"))
+
+
+def blame_targets(items: DataFrame) -> DataFrame:
+    """The places whose last change is asked for: each line of each file once."""
+    return items.select("file_path", "line").distinct()
+
+
 def exact_duplicates(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, hash, n): every key whose text occurs under others too, with the class of equal texts and its size."""
     d = texts.filter(F.col(text).isNotNull()).select(key, F.sha2(F.col(text), 256).alias("hash")).distinct()

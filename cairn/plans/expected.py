@@ -210,4 +210,21 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         ('web/routes/users.js', 'create', 'block', 1, 6),
         ('web/server.js', 'purge', 'block', 1, 6),
     ]),
+    "fixture_duplicates": ("type VARCHAR, members VARCHAR, size INTEGER, duplicated_lines INTEGER, avg_similarity DOUBLE, value DOUBLE", [
+        ('exact', 'shop/api.py:18,shop/store.py:23', 2, 11, 1.0, 22.0),
+        ('exact', 'web/routes/users.js:5,web/server.js:6', 2, 5, 1.0, 10.0),
+        ('similar', 'shop/api.py:7,shop/app.py:13', 2, 7, 0.95, 14.0),
+    ]),
+    "fixture_top_callers": ("file_path VARCHAR, qualified_name VARCHAR, callers VARCHAR", [
+        ('jvm/OrderController.java', 'OrderController.find', 'OrderController.one'),
+        ('net/Ping.cs', 'Ping.Twice', 'Ping.Send'),
+        ('shop/store.py', 'Store', 'read_item,add_item,refill'),
+        ('shop/store.py', 'Store.add', 'add_item,refill,Shelf.add'),
+        ('shop/store.py', 'Store.total', 'read_item,Store.add'),
+        ('shop/store.py', 'restock', 'health,test_restock'),
+        ('svc/main.go', 'write', 'ping'),
+        ('web/api.ts', 'get', 'load'),
+        ('web/client.ts', 'View.draw', 'View.render'),
+        ('web/lib/format.ts', 'format', 'load,View.draw'),
+    ]),
 }

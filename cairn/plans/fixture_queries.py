@@ -98,6 +98,24 @@ def fixture_linkage(spark):
     return g.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "avg_similarity")
 
 
+@query
+def fixture_duplicates(spark):
+    """The exact groups of the fixture, and one similar pair made of two of its functions."""
+    s = _known(spark)[1]
+    a, b = (s.filter(F.col("qualified_name") == n).select("id").first().id for n in ("health", "read_item"))
+    pairs = spark.createDataFrame([(min(a, b), max(a, b), 0.95)], "a bigint, b bigint, sim double")
+    long = s.withColumn("end_line", F.col("end_line") + 4)  # functions of five lines and more take part
+    g = clones.duplicate_groups(long, pairs)
+    return g.select("type", F.array_join(F.transform("members", lambda m: F.concat(m["file_path"], F.lit(":"), m["start_line"].cast("string"))), ",").alias("members"), "size", "duplicated_lines", "avg_similarity", "value")
+
+
+@query
+def fixture_top_callers(spark):
+    _, s, _, t, c = _known(spark)
+    d = graph.top_callers(s, resolve.references(s, c, t)).join(s.select("id", "qualified_name", "file_path"), "id")
+    return d.select("file_path", "qualified_name", F.array_join("callers", ",").alias("callers"))
+
+
 def _impact(spark):
     _, s, _, t, c = _known(spark)
     return graph.impact(s, resolve.references(s, c, t), s.filter("qualified_name = 'Store.total'").first().id, 3)

@@ -384,6 +384,16 @@ def module_graph_collapsed(spark, d):
     return graph.collapse(graph.module_graph(_mounts(spark, d)), depth=2)
 
 
+@query(f"""WITH {_MOUNTS_SQL}, e AS (SELECT src, dst, count(*) AS weight FROM imports WHERE src <> dst GROUP BY 1, 2), s AS (SELECT min(array_to_string(string_split(src, '/')[1:2], '/')) AS scope FROM e),
+k AS (SELECT array_to_string(string_split(src, '/')[1:3], '/') AS src, CASE WHEN dst = scope OR starts_with(dst, scope || '/') THEN array_to_string(string_split(dst, '/')[1:3], '/') ELSE array_to_string(string_split(dst, '/')[1:2], '/') END AS dst, weight FROM e, s WHERE starts_with(src, scope || '/'))
+SELECT src, dst, sum(weight)::BIGINT AS weight FROM k WHERE src <> dst GROUP BY 1, 2""")
+def module_graph_scoped(spark, d):
+    """The links out of one folder, three folders deep inside it and as deep as it outside."""
+    g = graph.module_graph(_mounts(spark, d))
+    scope = g.agg(F.min(F.array_join(F.slice(F.split("src", "/"), 1, 2), "/"))).first()[0] or ""
+    return graph.collapse(g, scope, 3, scope.count("/") + 1)
+
+
 @query(f"""WITH RECURSIVE {_MOUNTS_SQL}, e AS (SELECT DISTINCT src, dst FROM imports WHERE src <> dst), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst),
 m AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS comp FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
 SELECT array_to_string(list_sort(list(node)), ',') AS members FROM m GROUP BY comp""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators import index
 from cairn.session import table
 
 Q: dict = {}
@@ -97,6 +98,15 @@ def quoted_defaults(spark, d):
     return table(spark, d, "env_vars").filter("default_value is not null").select("default_value", T.quote_env(F.col("default_value")).alias("quoted")).distinct()
 
 
+@query(rf"""WITH c AS (SELECT DISTINCT ON (id) id, repo_id, file_path, start_line, end_line, content FROM chunks WHERE content IS NOT NULL AND repo_id IS NOT NULL AND file_path IS NOT NULL AND start_line IS NOT NULL AND end_line IS NOT NULL),
+s AS (SELECT repo_id, path, CASE WHEN content = '' THEN [] WHEN regexp_split_to_array(content, '{_LINES}')[-1] = '' THEN regexp_split_to_array(content, '{_LINES}')[:-2] ELSE regexp_split_to_array(content, '{_LINES}') END AS l FROM raw_files WHERE content IS NOT NULL),
+k AS (SELECT id, CASE WHEN content = '' THEN [] WHEN regexp_split_to_array(content, '{_LINES}')[-1] = '' THEN regexp_split_to_array(content, '{_LINES}')[:-2] ELSE regexp_split_to_array(content, '{_LINES}') END AS own FROM c)
+SELECT c.id, greatest(start_line - 30, 1) AS first, least(end_line + 30, len(l))::INT AS last, md5(array_to_string(l[greatest(start_line - 30, 1):least(end_line + 30, len(l))], chr(10))) AS digest, array_to_string(l[start_line:end_line], chr(10)) <> array_to_string(own, chr(10)) AS stale
+FROM c JOIN k USING (id) JOIN s ON s.repo_id = c.repo_id AND s.path = c.file_path""")
+def chunk_previews(spark, d):
+    return index.chunk_preview(table(spark, d, "chunks"), table(spark, d, "raw_files")).select("id", "first", "last", F.md5("shown").alias("digest"), "stale")
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -472,3 +472,26 @@ def test_similar_pairs_cover_all_rows(spark):
     for block in (7, 1000):
         got = [(r.a, r.b) for r in clones.similar_pairs(v, 0.8, block=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_function_vectors_join_on_the_same_lines(spark):
+    s = spark.createDataFrame([(1, "r", "a.py", 1, 9, "function"), (2, "r", "a.py", 1, 8, "function"), (3, "r", "a.py", 20, 30, "class"), (4, None, "a.py", 1, 9, "method")], "id bigint, repo_id string, file_path string, start_line int, end_line int, kind string")
+    c = spark.createDataFrame([("r", "a.py", 1, 9, [1.0]), ("r", "a.py", 1, 9, [1.0]), ("r", "a.py", 20, 30, [2.0]), ("r", "a.py", 1, 8, None), (None, "a.py", 1, 9, [3.0])], "repo_id string, file_path string, start_line int, end_line int, embedding array<float>")
+    assert [tuple(r) for r in clones.function_vectors(s, c).collect()] == [(1, [1.0], "r/a.py", 1, 9, 8)]
+    assert clones.function_vectors(s, c.limit(0)).count() == 0
+
+
+def test_duplicate_groups_of_one_kind(spark):
+    s = spark.createDataFrame([(k, f"f{k}.py", 1, 9, "h" if k < 3 else None, False) for k in range(1, 6)], "id bigint, file_path string, start_line int, end_line int, norm_hash string, is_test boolean")
+    p = spark.createDataFrame([(1, 2, 0.99), (3, 4, 0.95), (4, 5, 0.7)], "a bigint, b bigint, sim double")
+    got = {k: [(r.type, [m.id for m in r.members]) for r in clones.duplicate_groups(s, p, kind=k).collect()] for k in ("all", "exact", "similar")}
+    assert got == {"all": [("exact", [1, 2]), ("similar", [3, 4])], "exact": [("exact", [1, 2])], "similar": [("similar", [3, 4])]}
+    with pytest.raises(ValueError):
+        clones.duplicate_groups(s, p, kind="other")
+
+
+def test_small_listings(spark):
+    s = spark.createDataFrame([(1, True), (2, False), (3, False)], "id bigint, has_doc boolean")
+    assert rows(listings.symbol_rows(s, [1, 2])) == [(2, False)]
+    i = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", 2, "x")], "file_path string, line int, tag string")
+    assert rows(listings.blame_targets(i)) == [("a", 1), ("b", 2)]
