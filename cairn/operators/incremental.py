@@ -278,10 +278,14 @@ def backlog(files: DataFrame, chunks: DataFrame, root: str | None = None) -> Dat
 
 def backlog_by_repository(files: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """Files, files to take up, the end of the last successful run, and how many of the backlog's states are dated before it
-    (late arrivals, or left over by failed runs): what a run that went by the clock would miss."""
+    (late arrivals, or left over by failed runs): what a run that went by the clock would miss. A ``finished_at`` without a
+    time zone is UTC, whatever the session's zone."""
     cur = current_files(files)
     todo = backlog(files, chunks).withColumn("open", F.lit(True))
     last = runs.filter("status = 'success'").groupBy("repo_id").agg(F.max("finished_at").alias("last_success"))
     d = cur.join(todo, ["repo_id", "path"], "left").join(last, "repo_id", "left")
-    late = F.col("open") & (F.col("indexed_at") < F.unix_micros("last_success") / 1e6)
+    instant = F.col("last_success")
+    if dict(runs.dtypes)["finished_at"] == "timestamp_ntz":
+        instant = F.concat(instant.cast("string"), F.lit("Z")).cast("timestamp")
+    late = F.col("open") & (F.col("indexed_at") < F.unix_micros(instant) / 1e6)
     return d.groupBy("repo_id").agg(F.count("*").alias("n_files"), F.count_if("open").alias("n_backlog"), F.max("last_success").alias("last_success"), F.count_if(late).alias("n_dated_before"))

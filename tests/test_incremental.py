@@ -158,3 +158,23 @@ def test_backlog_rules(spark):
     assert rows(inc.backlog(files, chunks)) == [("r", "mixed"), ("r", "none"), ("r", "old")]
     assert rows(inc.backlog(files.limit(0), chunks)) == []
     assert len(rows(inc.backlog(files, chunks.limit(0)))) == 4
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_backlog_by_repository_with_and_without_time_zone(spark, kind, zone):
+    at = 1710052200.25  # 2024-03-10 06:30 UTC; 02:30 on that day does not exist in New York
+    files = spark.createDataFrame([("r", "a", "1", "go", at - 0.5), ("r", "b", "1", "go", at + 0.5), ("r", "c", "1", "go", at - 9), ("s", "a", "1", "go", at)], "repo_id string, path string, hash string, language string, indexed_at double")
+    chunks = spark.createDataFrame([("r", "c", "1")], "repo_id string, file_path string, file_hash string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        end = "timestamp_micros(1710052200250000)" if kind == "timestamp" else "timestamp_ntz'2024-03-10 06:30:00.25'"
+        runs = spark.sql(f"select 'r' as repo_id, {end} as finished_at, 'success' as status union all select 'r', {end} + interval 1 day, 'failed'")
+        late = spark.sql("select 'r' as repo_id, timestamp_ntz'2024-03-10 02:30:00' as finished_at, 'success' as status")
+        got = inc.backlog_by_repository(files, chunks, runs)
+        assert dict(got.dtypes)["last_success"] == kind
+        assert rows(got.drop("last_success")) == [("r", 3, 2, 1), ("s", 1, 1, 0)]
+        assert rows(inc.backlog_by_repository(files.withColumn("indexed_at", F.col("indexed_at") - 14400), chunks, late).drop("last_success")) == [("r", 3, 2, 1), ("s", 1, 1, 0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
