@@ -281,6 +281,27 @@ def test_one_error_costs_one_edit_at_any_length(n):
         assert (rep.cost, rep.lines) == (1, [4]), (lang, rep)
 
 
+@pytest.mark.parametrize("lang", ["js", "py"])
+def test_charts_that_are_too_wide_are_repaired_exactly(lang):
+    n, end = {"js": (300, ";\n"), "py": (1500, "\n")}[lang]
+    wrong = (n // 4, n // 2, 3 * n // 4) if lang == "js" else (n // 2,)
+    rep = syntax.examine(lang, "a = 1" + end + "x = " + " + ".join("a b" if k in wrong else f"a{k}" for k in range(n)) + end)
+    assert (rep.cost, rep.lines) == (len(wrong), [2])
+
+
+def test_sets_of_stacks_cost_what_the_chart_costs(monkeypatch):
+    rng = random.Random(4)
+    tiny = chart.Grammar("e = t ('+' t)*\nt = id | P.e", {"+": "+"}, {"id": {"i"}})
+    for g, rule, tokens in [(tiny, "e", "i+"), (grammars.syntax("js").grammar, "tops", "i0s;,=?:.+-"), (grammars.syntax("java").grammar, "stmts", "i0s;,=?:.+<>")]:
+        for _ in range(150):
+            x = "".join(rng.choices(tokens, k=rng.randrange(1, 9)))
+            cost, at = chart.Stacks(g, g.rules[rule]).repair(x, 3)
+            assert cost == g.repair(rule, x)[0] == len(at) and at == sorted(at), x
+            monkeypatch.setattr(chart, "ENDS", 0)
+            assert g.repair(rule, x)[0] == cost
+            monkeypatch.undo()
+
+
 _BODIES = {
     "java": "class A {\n    int a;\n    void f() {\n        g(1);\n        int x = y;\n        h(x, y);\n    }\n    void k() {\n        z();\n    }\n}\n",
     "js": "import a from 'b';\nfunction f(x) {\n  const y = x;\n  g(y, 2);\n  return y;\n}\nexport function k() {\n  return 1;\n}\n",
