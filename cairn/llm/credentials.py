@@ -6,33 +6,44 @@
    of random strings, its shape, the words of the surrounding identifier, where it stands, and the path.
 3. A logistic regression is fitted on weak labels: values of well-known token formats and random values under telling names
    are positive; placeholders, references, digests, identifiers and ordinary words are negative; the rest is left to the model.
-4. Scores are calibrated on a held-out part of the sample (isotonic steps) and values from ``THRESHOLD`` on are replaced by
-   ``REDACTED`` - only the characters of the credential itself, so quotes, names and the rest of the URL stay.
-
-The sample is bounded (``train_rows`` texts in hash order, of at most ``train_chars`` characters each, and ``TRAIN_WORDS`` of
-their words, drawn, for the Markov chain of ordinary text); everything else runs over all rows, whole texts and values of any
-length, with or without spaces. Weights start at nothing and are learned from the weak labels alone.
-
-Defined cases: null and empty texts have no candidates; repeated rows of an id come out once in ``found``; a sample
-without positives or negatives falls back to fixed weights.
+4. Scores are calibrated (isotonic steps) with the weights learned without the value's own fold, so that every labelled value
+   takes part in both, and values from ``THRESHOLD`` on are replaced by ``REDACTED`` - only the characters of the credential
+   itself, so quotes, names and the rest of the URL stay.
+
+Nothing is sampled: the words of the Markov chain, the weights and the steps come from all rows, whole texts and values of any
+length, with or without spaces. Texts are read once, their candidates and the features of these are written to the checkpoint
+folder; a step of the regression (Newton's method) is a pass over the features that gives sums of fixed size, and the steps
+are pooled within sorted ranges before the ends of the ranges meet. Weights start at nothing and are learned from the weak
+labels and from drawn values, which weigh the same beside few rows and many.
+
+Defined cases: null and empty texts have no candidates; repeated rows of an id come out once in ``found``; tables
+without positives or negatives fall back to fixed weights.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
+import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cairn.llm.common import thinned
+from cairn.session import ensure_checkpoint_dir
 
 REDACTED = "[REDACTED]"
 THRESHOLD = 0.5
-TRAIN_WORDS = 40_000
+#: What all words together weigh against the smoothing of the Markov chain, where there are as many.
+WORDS_WEIGHT = 40_000
+#: What all drawn values together weigh at least, beside the labelled ones.
+DRAWN_SHARE = 0.1
+FOLDS = 5
+RIDGE = 0.0002
 
 #: Words of names that tell of credentials, of settings about them, and of other random-looking values.
 SECRET_WORDS = set("password passwd pwd pass passphrase secret token apikey credential credentials auth authorization jwt bearer salt key hmac signing access refresh private login connection conn dsn pw pin cookie stripe".split())
@@ -194,6 +205,11 @@ class Markov:
             np.add.at(self.table, (c[:-1], c[1:]), 1)
         return self
 
+    def add(self, pairs: np.ndarray):
+        """Counts of pairs as ``WordPairs`` gives them."""
+        self.table += pairs[:-1].reshape(96, 96) * min(1.0, WORDS_WEIGHT / max(pairs[-1], 1.0))
+        return self
+
     def done(self):
         self.log = np.log(self.table / self.table.sum(axis=1, keepdims=True))
         self.rows = self.log.tolist()
@@ -235,6 +251,8 @@ def chosen(v: str) -> bool:
 
 
 _PART = re.compile(r"[^\W_]+")
+#: A value without quotes that is a dotted name, as of a function that reads settings.
+_CODE = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+")
 _FUNCTION_WORDS = set("the a an is are was be been has have must can cannot to your you in on at of it this that for with and not or from by no if please enter invalid missing".split())
 
 
@@ -255,6 +273,8 @@ def weak_label(c: Candidate) -> int | None:
         return 0
     if c.kind == "pem":
         return 1 if len(v) >= 40 else None
+    if c.kind == "bare" and _CODE.fullmatch(v):
+        return 0
     if c.kind in ("url", "conn"):
         return 1
     if c.kind == "known":
@@ -327,50 +347,57 @@ class Model:
         return out
 
 
-def _isotonic(raw: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
-    """Pooled adjacent violators: (lower bound of the raw score, calibrated probability)."""
-    order = np.argsort(raw, kind="stable")
-    blocks: list[list[float]] = []
-    for r, t in zip(raw[order], y[order]):
-        blocks.append([float(r), float(t), 1.0])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            r0, t0, n0 = blocks.pop()
-            blocks[-1][1] += t0
-            blocks[-1][2] += n0
-    steps = []
-    for k, (r, t, n) in enumerate(blocks):
-        if k:  # halfway, in log odds, to the highest score of the block below
-            below = float(np.max(raw[raw < r], initial=0.0))
-            z = [math.log(max(q, 1e-9) / max(1 - q, 1e-9)) for q in (below, r)]
-            r = 1 / (1 + math.exp(-(z[0] + z[1]) / 2))
-        steps.append((r, (t + 0.01) / (n + 0.02)))
-    return steps
+class WordPairs:
+    """Counts of the pairs of neighbouring characters in ordinary words, and in the last place of the words."""
 
+    word = re.compile(r"[A-Za-z_][\w./-]{3,30}")
 
-def train(rows: list[tuple[str, str, str]], seed: int = 5) -> Model:
-    """From (path, given name or '', text)."""
-    cands = [(c, path) for path, name, text in rows if text for c in candidates(text, name)]
-    labels = [weak_label(c) for c, _ in cands]
-    rng = np.random.default_rng(seed)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    noise = Markov().learn("".join(rng.choice(list(alphabet), 24)) for _ in range(2000)).learn("".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(600)).done()
-    ordinary = [w for _, _, t in rows if t for w in re.findall(r"[A-Za-z_][\w./-]{3,30}", t)]
-    if len(ordinary) > TRAIN_WORDS:
-        ordinary = [ordinary[k] for k in rng.choice(len(ordinary), TRAIN_WORDS, replace=False)]
-    plain = Markov().learn(w for w in ordinary if not _random(w)).done()
-    got = [(c, p, y) for (c, p), y in zip(cands, labels) if y is not None]
-    base64 = list(alphabet + "+/")
+    def __init__(self):
+        self.counts = np.zeros(96 * 96 + 1)
+        self.random: dict[str, bool] = {}
+
+    def _is_random(self, w: str) -> bool:
+        got = self.random.get(w)
+        if got is None:
+            if len(self.random) > 1 << 17:
+                self.random.clear()
+            got = self.random[w] = _random(w)
+        return got
+
+    def add(self, texts: Iterable[str]):
+        words: Counter = Counter()
+        for t in texts:
+            words.update(self.word.findall(t))
+        kept = [(w, n) for w, n in words.items() if not self._is_random(w)]
+        if kept:
+            codes = np.frombuffer((" " + " ".join(w for w, _ in kept) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            codes = np.clip(codes - 32, 0, 95)
+            times = np.repeat([float(n) for _, n in kept], [len(w) + 1 for w, _ in kept])
+            self.counts[:-1] += np.bincount(codes[:-1] * 96 + codes[1:], times, 96 * 96)
+        self.counts[-1] += sum(words.values())
+        return self
+
+
+def _fold(c: Candidate) -> int:
+    """Equal values are in one fold."""
+    return zlib.crc32(f"{c.kind}\0{c.name}\0{c.value}".encode("utf-8", "surrogatepass")) % FOLDS
+
+
+def _noise(rng: np.random.Generator) -> Markov:
+    return Markov().learn("".join(rng.choice(list(_ALNUM), 24)) for _ in range(2000)).learn("".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(600)).done()
+
+
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _drawn(rng: np.random.Generator) -> list[tuple[Candidate, int]]:
+    """Values and labels that tables may not hold: random values that nothing names are data; those in a place for
+    credentials, or under their names, are such, and placeholders and digests are not."""
+    base64 = list(_ALNUM + "+/")
     drawn = [Candidate([], "".join(rng.choice(base64, int(n))), "", "literal") for n in rng.integers(12, 100, 300)]
-    fixed = np.zeros(FEATURES)
-    fixed[[0, 1, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 17, 18, 20, 22, 23, 24, 26]] = [-4, 0.5, -6, -1, -3, 1, 2, -4, -4, 5, 5, 2, 5, 2, 1, 0.5, 2, 4, 5, -8]
-    y = np.array([y for *_, y in got], float)
-    if len(got) < 50 or y.min() == y.max():
-        return Model(plain, noise, fixed, [(0.0, 0.01), (0.5, 0.9)])
-    # random values that nothing names are data; those in a place for credentials, or under their names, are such, and
-    # placeholders and digests are not
     places = [("header", ""), ("url", ""), ("conn", ""), ("pem", ""), ("known", ""), ("literal", "password"), ("bare", "secret_token")]
     for kind, name in places:
-        drawn += [Candidate([], "".join(rng.choice(list(alphabet), int(n))), name, kind) for n in rng.integers(12, 60, 40) if kind != "pem" or n >= 40]
+        drawn += [Candidate([], "".join(rng.choice(list(_ALNUM), int(n))), name, kind) for n in rng.integers(12, 60, 40) if kind != "pem" or n >= 40]
         drawn += [Candidate([], c * int(n), name, kind) for c, n in zip("x*0.X#-x", rng.integers(6, 30, 8))]
         drawn += [Candidate([], v, name, kind) for v in ("${TOKEN}", "<token>", "changeme", "%(key)s", "{{ key }}", "ghp_" + "0" * 36, "AKIA" + "X" * 16, "example")]
     for word in sorted(DIGEST_WORDS):
@@ -380,35 +407,206 @@ def train(rows: list[tuple[str, str, str]], seed: int = 5) -> Model:
     drawn += [Candidate([], "".join(rng.choice(lower, int(n))).capitalize() + f"{rng.integers(10, 9999)}{mark}", name, kind) for kind, name in (("literal", "password"), ("literal", "db_pw"), ("bare", "passphrase")) for n in rng.integers(4, 9, 12) for mark in "!#&"]
     words = [*sorted(_FUNCTION_WORDS), "30", "2", "2024"]
     drawn += [Candidate([], " ".join(rng.choice(words, int(n))).capitalize() + end, name, "literal") for name in ("token_message", "secret", "password_error", "") for n in rng.integers(3, 12, 12) for end in (".", "!")]
-    got += [(c, "", y) for k, c in enumerate(drawn) if (y := 0 if k < 300 else weak_label(c)) is not None]
-    y = np.array([y for *_, y in got], float)
-    x = np.array([features(c, plain, noise, p) for c, p, _ in got])
-    hold = rng.random(len(y)) < 0.2
-    w, m, s = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
-    xt, yt = x[~hold], y[~hold]
-    balance = np.where(yt == 1, 0.5 / max(yt.mean(), 1e-6), 0.5 / max(1 - yt.mean(), 1e-6))
-    for k in range(1, 1201):
-        p = 1 / (1 + np.exp(-np.clip(xt @ w, -30, 30)))
-        g = xt.T @ ((p - yt) * balance) / len(yt) + 0.0002 * w
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
-    raw = 1 / (1 + np.exp(-np.clip(x[hold] @ w, -30, 30)))
-    steps = _isotonic(raw, y[hold]) if hold.sum() >= 50 and 0 < y[hold].sum() < hold.sum() else [(0.0, 0.01), (0.5, 0.9)]
-    return Model(plain, noise, w, steps)
-
-
-def fit(chunks: DataFrame, env: DataFrame, train_rows: int = 6000, train_chars: int = 20_000) -> Model:
-    """Bounded sample in hash order from both tables (half each)."""
-    a = chunks.select(F.col("file_path").alias("path"), F.lit("").alias("name"), F.col("content").alias("text"), "id")
-    b = env.select(F.col("file_path").alias("path"), F.col("name"), F.col("default_value").alias("text"), "id")
-    rows: list[tuple[str, str, str]] = []
-    for d, hint in ((a, True), (b, False)):
-        d = thinned(d, "id", train_rows).filter((F.length("text") > 0) & (F.length("text") <= train_chars))
-        if hint:
-            d = d.filter(F.col("text").rlike(r"(?i)pass|secret|token|key|auth|cred|://|BEGIN"))
-        share = d.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(train_rows // 2).select("path", "name", "text").toArrow()
-        rows += [(p or "", n or "", t) for p, n, t in zip(*(share.column(k).to_pylist() for k in range(3)))]
-    return train(rows)
+    return [(c, y) for k, c in enumerate(drawn) if (y := 0 if k < 300 else weak_label(c)) is not None]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _sums(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weights: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of ``FOLDS`` regressions, each without a fold, and of the one over all; ``share`` is what a
+    value of either label weighs in each."""
+    out = np.empty((FOLDS + 1, 1 + FEATURES + FEATURES**2))
+    for j in range(FOLDS + 1):
+        use = fold != j
+        a, t = x[use], y[use]
+        b, z = share[j][t], a @ weights[j]
+        p = _sigmoid(z)
+        out[j, 0] = b @ np.logaddexp(0, np.where(t == 1, -z, z))
+        out[j, 1 : 1 + FEATURES] = (b * (p - t)) @ a
+        out[j, 1 + FEATURES :] = ((a * (b * p * (1 - p))[:, None]).T @ a).ravel()
+    return out
+
+
+def _minimum(sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Newton's method with halved steps where the loss would rise, all regressions at once."""
+    models = FOLDS + 1
+    w, step, least = np.zeros((models, FEATURES)), np.zeros((models, FEATURES)), np.full(models, np.inf)
+    done = np.zeros(models, bool)
+    while not done.all():
+        at = w - step
+        got = sums(at)
+        loss = got[:, 0] + RIDGE / 2 * (at**2).sum(axis=1)
+        for j in np.flatnonzero(~done):
+            if loss[j] <= least[j]:
+                w[j], least[j] = at[j], loss[j]
+                slope = got[j, 1 : 1 + FEATURES] + RIDGE * w[j]
+                step[j] = np.linalg.solve(got[j, 1 + FEATURES :].reshape(FEATURES, FEATURES) + RIDGE * np.eye(FEATURES), slope)
+                done[j] = step[j] @ slope < 1e-9
+            else:
+                step[j] /= 2
+                done[j] = np.abs(step[j]).max() < 1e-9
+            if done[j]:
+                step[j] = 0
+    return w
+
+
+def _pooled(blocks: Iterable[tuple[float, float, float, float]]) -> list[list[float]]:
+    """Pooled adjacent violators of sorted (lowest score, positives, all, highest score); blocks pooled before may be pooled on."""
+    out: list[list[float]] = []
+    for b in blocks:
+        out.append(list(b))
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            _, t, n, hi = out.pop()
+            out[-1][1] += t
+            out[-1][2] += n
+            out[-1][3] = hi
+    return out
+
+
+def _steps(blocks: list[list[float]]) -> list[tuple[float, float]]:
+    """(lower bound of the raw score, calibrated probability)."""
+    steps = []
+    for k, (r, t, n, _) in enumerate(blocks):
+        if k:  # halfway, in log odds, to the highest score of the block below
+            z = [math.log(max(q, 1e-9) / max(1 - q, 1e-9)) for q in (blocks[k - 1][3], r)]
+            r = 1 / (1 + math.exp(-(z[0] + z[1]) / 2))
+        steps.append((r, (t + 0.01) / (n + 0.02)))
+    return steps
+
+
+def _ranked(x: np.ndarray, y: np.ndarray, fold: np.ndarray, weights: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """Sorted blocks of equal scores, every value's from the regression without its fold."""
+    at, where = np.unique(_sigmoid((x * weights[fold]).sum(axis=1)), return_inverse=True)
+    return list(zip(at.tolist(), np.bincount(where, y).tolist(), np.bincount(where).tolist(), at.tolist()))
+
+
+_FIXED = np.zeros(FEATURES)
+_FIXED[[0, 1, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 17, 18, 20, 22, 23, 24, 26]] = [-4, 0.5, -6, -1, -3, 1, 2, -4, -4, 5, 5, 2, 5, 2, 1, 0.5, 2, 4, 5, -8]
+
+
+def _learn(plain: Markov, noise: Markov, rng: np.random.Generator, counts: np.ndarray, sums: Callable, blocks: Callable) -> Model:
+    """``counts``: labelled values by fold and label; ``sums(weights, share)`` and ``blocks(weights)`` go over all of them. Drawn
+    values teach the weights only: probabilities are those of the tables."""
+    if counts.sum() < 50 or not counts.sum(axis=0).all():
+        return Model(plain, noise, _FIXED, [(0.0, 0.01), (0.5, 0.9)])
+    drawn = _drawn(rng)
+    x, y = np.array([features(c, plain, noise, "") for c, _ in drawn]), np.array([t for _, t in drawn])
+    fold = np.array([_fold(c) for c, _ in drawn])
+    weight = max(1.0, DRAWN_SHARE * counts.sum() / len(drawn))
+    each = counts + weight * np.array([[np.sum((fold == f) & (y == t)) for t in (0, 1)] for f in range(FOLDS)])
+    share = 0.5 / np.array([*(each.sum(axis=0) - each), each.sum(axis=0)])
+    w = _minimum(lambda at: sums(at, share) + _sums(x, y, fold, at, share * weight))
+    return Model(plain, noise, w[FOLDS], _steps(blocks(w)))
+
+
+def train(rows: list[tuple[str, str, str]], seed: int = 5) -> Model:
+    """From (path, given name or '', text)."""
+    rng = np.random.default_rng(seed)
+    noise = _noise(rng)
+    plain = Markov().add(WordPairs().add(t for _, _, t in rows if t).counts).done()
+    got = [(c, path, y) for path, name, text in rows if text for c in candidates(text, name) if (y := weak_label(c)) is not None]
+    x = np.array([features(c, plain, noise, p) for c, p, _ in got]).reshape(-1, FEATURES)
+    y, fold = np.array([y for *_, y in got], int), np.array([_fold(c) for c, *_ in got], int)
+    counts = np.bincount(fold * 2 + y, minlength=2 * FOLDS).reshape(FOLDS, 2).astype(float)
+    return _learn(plain, noise, rng, counts, lambda w, share: _sums(x, y, fold, w, share), lambda w: _pooled(_ranked(x, y, fold, w)))
+
+
+def _texts(chunks: DataFrame, env: DataFrame) -> DataFrame:
+    a = chunks.select(F.lit("chunks").alias("table_name"), "id", F.lit("").alias("name"), F.col("file_path").alias("path"), F.col("content").alias("text"))
+    b = env.select(F.lit("env_vars").alias("table_name"), "id", F.coalesce("name", F.lit("value")).alias("name"), F.col("file_path").alias("path"), F.col("default_value").alias("text"))
+    return a.unionByName(b).filter("length(text) > 0")
+
+
+def _columns(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    at = f"{ensure_checkpoint_dir(df.sparkSession)}/credentials-{uuid.uuid4().hex}-{name}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def learned(chunks: DataFrame, env: DataFrame, seed: int = 5) -> tuple[Model, DataFrame]:
+    """A model from all rows of both tables, and (table_name, id, fold, label, x) of all their candidates."""
+    spark = chunks.sparkSession
+    rng = np.random.default_rng(seed)
+    noise = _noise(rng)
+    pieces = pa.schema([("table_name", pa.string()), ("id", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("value", pa.string()), ("trial", pa.bool_()), ("times", pa.float64())])
+
+    def read(batches):
+        pairs = WordPairs()
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(5))))
+            pairs.add(t for *_, t in rows)
+            yield _columns(pieces, [(t, i, c.kind, c.name, c.value, _trial(path or ""), None) for t, i, name, path, text in rows for c in candidates(text, name)])
+        yield _columns(pieces, [(None, int(k), None, None, None, None, float(pairs.counts[k])) for k in np.flatnonzero(pairs.counts)])
+
+    found = _kept(_texts(chunks, env).mapInArrow(read, "table_name string, id bigint, kind string, name string, value string, trial boolean, times double"), "candidates")
+    pairs = np.zeros(96 * 96 + 1)
+    for r in found.filter("kind is null").groupBy("id").agg(F.sum("times").alias("times")).collect():
+        pairs[r.id] = r.times
+    plain = Markov().add(pairs).done()
+    chains = spark.sparkContext.broadcast((plain, noise))
+    described = pa.schema([("table_name", pa.string()), ("id", pa.int64()), ("fold", pa.int32()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
+
+    def describe(batches):
+        known: dict[tuple, tuple] = {}
+        for batch in batches:
+            rows = []
+            for t, i, kind, name, value, trial in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                key = (kind, name, value, trial)
+                got = known.get(key)
+                if got is None:
+                    if len(known) > 1 << 15:
+                        known.clear()
+                    c = Candidate([], value, name, kind)
+                    got = known[key] = (_fold(c), weak_label(c), features(c, *chains.value, "test" if trial else ""))
+                rows.append((t, i, *got))
+            yield _columns(described, rows)
+
+    given = _kept(found.filter("kind is not null").drop("times").mapInArrow(describe, "table_name string, id bigint, fold int, label int, x array<double>"), "features")
+    labelled = given.filter("label is not null").select("fold", "label", "x")
+    counts = np.zeros((FOLDS, 2))
+    for r in labelled.groupBy("fold", "label").count().collect():
+        counts[r.fold, r.label] = r["count"]
+
+    def sums(w, share):
+        def part(batches):
+            out = np.zeros((FOLDS + 1, 1 + FEATURES + FEATURES**2))
+            for b in batches:
+                out += _sums(_matrix(b, "x"), b.column("label").to_numpy(), b.column("fold").to_numpy(), w, share)
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+
+        return sum(np.frombuffer(r.sums).reshape(FOLDS + 1, -1) for r in labelled.mapInArrow(part, "sums binary").collect())
+
+    kind = pa.schema([(k, pa.float64()) for k in ("lo", "t", "n", "hi")])
+
+    def blocks(w):
+        def rank(batches):
+            for b in batches:
+                yield _columns(kind, _ranked(_matrix(b, "x"), b.column("label").to_numpy(), b.column("fold").to_numpy(), w))
+
+        def pool(batches):
+            yield _columns(kind, _pooled(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))))
+
+        schema = "lo double, t double, n double, hi double"
+        d = labelled.mapInArrow(rank, schema).groupBy("lo").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).withColumn("hi", F.col("lo"))
+        return _pooled(sorted(tuple(r) for r in d.orderBy("lo").mapInArrow(pool, schema).collect()))
+
+    return _learn(plain, noise, rng, counts, sums, blocks), given
+
+
+def fit(chunks: DataFrame, env: DataFrame) -> Model:
+    """From all rows of both tables."""
+    return learned(chunks, env)[0]
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
@@ -424,8 +622,6 @@ def scan(chunks: DataFrame, env: DataFrame, model: Model | None = None, threshol
     """(table_name, id, n credentials, best score, redacted text) of every row that holds at least one."""
     model = model or fit(chunks, env)
     shared = chunks.sparkSession.sparkContext.broadcast(model)
-    a = chunks.select(F.lit("chunks").alias("table_name"), "id", F.lit("").alias("name"), F.col("file_path").alias("path"), F.col("content").alias("text"))
-    b = env.select(F.lit("env_vars").alias("table_name"), "id", F.coalesce("name", F.lit("value")).alias("name"), F.col("file_path").alias("path"), F.col("default_value").alias("text"))
 
     def run(batches):
         m = shared.value
@@ -442,8 +638,18 @@ def scan(chunks: DataFrame, env: DataFrame, model: Model | None = None, threshol
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["table_name", "id", "n", "score", "redacted"])
 
-    return a.unionByName(b).filter("id is not null and length(text) > 0").mapInArrow(run, _SCHEMA)
+    return _texts(chunks, env).filter("id is not null").mapInArrow(run, _SCHEMA)
 
 
 def found(chunks: DataFrame, env: DataFrame, model: Model | None = None) -> DataFrame:
-    return scan(chunks, env, model, keep_text=False).select("table_name", "id").distinct()
+    if model:
+        return scan(chunks, env, model, keep_text=False).select("table_name", "id").distinct()
+    model, given = learned(chunks, env)
+    weights, (at, p) = model.weights, map(np.array, zip(*model.steps))
+
+    def run(batches):
+        for b in batches:
+            k = np.searchsorted(at, _sigmoid(_matrix(b, "x") @ weights), side="right") - 1
+            yield b.filter(pa.array(p[np.maximum(k, 0)] >= THRESHOLD)).select(["table_name", "id"])
+
+    return given.filter("id is not null").select("table_name", "id", "x").mapInArrow(run, "table_name string, id bigint").distinct()

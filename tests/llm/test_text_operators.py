@@ -546,6 +546,32 @@ def test_credentials_without_hint_or_bound(spark, secrets_model):
     assert {r.id: r.redacted for r in credentials.scan(chunks, env, secrets_model).collect()} == dict(enumerate(whole))
 
 
+def test_credentials_are_learned_from_all_rows(spark):
+    given = [(path, name, "count = 1  # ordinary\n" * 1000 * (k % 9 == 0 and not name) + text) for k, (path, name, text) in enumerate(training_rows())]
+    assert max(len(t) for *_, t in given) > 20_000
+    chunks = spark.createDataFrame([(k, p, t) for k, (p, n, t) in enumerate(given) if not n], "id bigint, file_path string, content string")
+    env = spark.createDataFrame([(k, n, p, t) for k, (p, n, t) in enumerate(given) if n], "id bigint, name string, file_path string, default_value string")
+    whole = credentials.train(given)
+    model, pieces = credentials.learned(chunks, env)
+    assert pieces.count() == sum(len(credentials.candidates(t, n)) for _, n, t in given)
+    assert abs(model.weights - whole.weights).max() < 1e-6 and abs(model.plain.log - whole.plain.log).max() < 1e-9
+    assert len(model.steps) == len(whole.steps) and all(abs(x - y) < 1e-6 for a, b in zip(model.steps, whole.steps) for x, y in zip(a, b))
+    assert rows(credentials.found(chunks, env)) == rows(credentials.found(chunks, env, whole)) != []
+
+
+def test_dotted_names_without_quotes_are_code():
+    labels = {c.value: credentials.weak_label(c) for c in credentials.candidates("token = Environment.GetEnvironmentVariable\npassword: Otter_LOCAL63&\n")}
+    assert labels == {"Environment.GetEnvironmentVariable": 0, "Otter_LOCAL63&": 1}
+
+
+def test_pooling_of_ranges_is_pooling_of_all():
+    rng = random.Random(7)
+    blocks = [(k / 99, float(rng.random() < k / 99), 1.0, k / 99) for k in range(100)]
+    whole = credentials._pooled(blocks)
+    assert credentials._pooled(b for a in (0, 30, 37, 80) for b in credentials._pooled(blocks[a : {0: 30, 30: 37, 37: 80, 80: 100}[a]])) == whole
+    assert [b[1] / b[2] for b in whole] == sorted(b[1] / b[2] for b in whole)
+
+
 def test_credentials_by_place_and_name(secrets_model):
     found = ["// temp: smtp_pass : Otter_STALE61&\n", "# old login: passphrase = Gra#pTs0us$60\n", "-- staging: hmacSecret : AEirqCIUy5JlRAUhR2MsH+W8dWtVYvroqK2AsIzYNkR=\n", "CREATE USER svc IDENTIFIED BY 'Otter_REMOTE6&';", 'admin_pw = (\n    "Cobalt"\n    "-beacon-695"\n)\n', 'source.Set("' + "very_long_" * 9 + 'password", "Otter_REMOTE6&")', "x = 1\n" + " " * 150 + 'password = "Otter_REMOTE6&"']
     for text in found:
