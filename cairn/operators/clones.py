@@ -1,6 +1,6 @@
 """Clones and clusters: exact groups, similar pairs, complete linkage, topic clustering.
 
-``similar_pairs`` multiplies blocks of rows with each other, so every task gets a bounded number of rows. Linkage works component by component; a complete-linkage
+``similar_pairs`` compares blocks of rows with each other, so every task gets a bounded number of rows. Linkage works component by component; a complete-linkage
 group never leaves its component.
 """
 
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.functions import constants as K, text as T
+from cairn.operators import pair_blocks
 from cairn.session import cut
 
 
@@ -48,36 +49,31 @@ def exact_groups(symbols: DataFrame, max_size: int = K.MAX_GROUP) -> DataFrame:
     return group_metrics(g)
 
 
-def similar_pairs(vectors: DataFrame, floor: float = K.PAIR_FLOOR, block: int = 8192) -> DataFrame:
-    """(a, b, sim) with a < b of (id, vector, file_path, start_line, end_line, span): cosines of ``floor`` or more.
-
-    Pairs overlapping in one file do not count. Every row meets every other: a task multiplies two blocks of about ``block``
-    rows, whatever the number of rows."""
-    v = vectors.filter(F.col("vector").isNotNull()).select("id", T.l2_normalise(F.col("vector")).alias("vector"), F.xxhash64("file_path").alias("file"), "start_line", "end_line")
-    blocks = max(1, -(-v.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    met = v.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other")
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id").combine_chunks()
-        ids, files, starts, ends, own = (t.column(k).to_numpy() for k in ("id", "file", "start_line", "end_line", "own"))
-        x = np.stack(t.column("vector").to_numpy())
-        out = [[], [], []]
-        two = t.column("p")[0] != t.column("q")[0]
-        for lo in range(0, len(ids), 512):
-            sim = x[lo : lo + 512] @ x[lo:].T
-            r, c = np.nonzero(sim >= floor - 1e-9)
-            s = np.round(sim[r, c], 4)
-            r, c = r + lo, c + lo
-            good = (c > r) & (s >= floor) & ~((files[r] == files[c]) & (starts[r] <= ends[c]) & (starts[c] <= ends[r]))
-            if two:  # pairs within a block come from the block alone
-                good &= own[r] != own[c]
-            for k, y in enumerate((ids[r], ids[c], s)):
-                out[k].append(y[good])
-        return pa.table({n: np.concatenate(y) for n, y in zip(("a", "b", "sim"), out)})
-
-    return met.groupBy("p", "q").applyInArrow(run, "a bigint, b bigint, sim double")
+def similar_pairs(vectors: DataFrame, floor: float = K.PAIR_FLOOR, block: int = 32_768) -> DataFrame:
+    """(a, b, sim) with a < b of (id, vector, file_path, start_line, end_line, span): cosines of ``floor`` or more, rounded.
+
+    Pairs overlapping in one file do not count. Every block of at most about ``block`` rows meets every other: blocks are
+    packed and written once, and read, not copied, for each pair of them, so disk grows with the rows only."""
+    starts, ends = F.coalesce("start_line", F.lit(-(1 << 31))).cast("int"), F.coalesce("end_line", F.lit((1 << 31) - 1)).cast("int")
+    v = vectors.filter(F.col("vector").isNotNull() & F.col("id").isNotNull()).select("id", "vector", F.xxhash64("file_path").alias("files"), starts.alias("starts"), ends.alias("ends"))
+    kind = vectors.schema["vector"].dataType.simpleString()
+    v = cut(v.mapInArrow(pair_blocks.cells, f"id bigint, vector {kind}, files bigint, starts int, ends int, cell int"))
+    blocks, own, room = [], -1, 0
+    for r in v.groupBy("cell").count().orderBy("cell").collect():  # 4,096 cells at most
+        parts = -(-r["count"] // block)
+        if parts > 1 or r["count"] > room:
+            own, room = own + 1, max(block - r["count"], 0)
+            blocks.append((r.cell, own, parts))
+            own += parts - 1
+        else:
+            room -= r["count"]
+            blocks.append((r.cell, own, 1))
+    at = F.broadcast(v.sparkSession.createDataFrame(blocks, "cell int, first int, parts int"))
+    met = v.join(at, "cell").select(F.col("id").alias("ids"), "vector", "files", "starts", "ends", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("own"))
+    spread_over = min(own + 1, max(24, own // 4)) or 1
+    packed = cut(met.repartition(spread_over, "own").groupBy("own").applyInArrow(pair_blocks.pack, pair_blocks.PACKED))
+    other = packed.toDF(*(f"_{c}" for c in packed.columns)).hint("shuffle_replicate_nl")
+    return packed.join(other, F.col("own") <= F.col("_own")).mapInArrow(lambda batches: pair_blocks.similar(batches, floor), "a bigint, b bigint, sim double")
 
 
 def components(pairs: DataFrame) -> DataFrame:

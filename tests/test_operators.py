@@ -2,10 +2,11 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import chunking, clones, conversations, diagrams, docs, extract, graph, index, listings, resolve, routes, search
+from cairn.operators import chunking, clones, conversations, diagrams, docs, extract, graph, index, listings, pair_blocks, resolve, routes, search
 from cairn.session import ensure_checkpoint_dir
 from cairn.sources import repository
 from cairn.streaming import indexing
@@ -526,3 +527,40 @@ def test_many_questions_write_neither_words_nor_scores_of_all_pairs(spark):
     before = _checkpointed(spark)
     assert search.bm25_questions(docs, q, 5).count() == 250
     assert _checkpointed(spark) - before < 500_000  # the words alone are 400,000 of 16 bytes or more
+
+
+VECTORS = "id bigint, vector array<float>, file_path string, start_line int, end_line int, span int"
+
+
+@pytest.mark.parametrize("families,noise", [(12, 0.05), (12, 0.3), (500, 0.0)])
+def test_packed_blocks_hold_the_pairs_of_brute_force(families, noise):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(families, 16))[rng.integers(0, families, 600)] + noise * rng.normal(size=(600, 16))).astype(np.float32)
+    x[17] = 0
+    files, starts = rng.integers(0, 9, 600), np.arange(600)
+    blocks = []
+    for own in range(3):
+        k = np.flatnonzero(np.arange(600) % 3 == own)
+        t = {"ids": k, "files": files[k], "starts": starts[k].astype(np.int32), "ends": (starts[k] + 3).astype(np.int32), "own": np.full(len(k), own, np.int32)}
+        t = pa.table({n: pa.array(c) for n, c in t.items()} | {"vector": pa.array(x[k].tolist(), pa.list_(pa.float32()))})
+        blocks.append(pair_blocks.pack(t).to_batches()[0])
+    n = pair_blocks.unit(x)
+    for floor in (0.8, 0.97):
+        got = []
+        for p in range(3):
+            for q in range(p, 3):
+                both = pa.RecordBatch.from_arrays([*blocks[p].columns, *blocks[q].columns], [*blocks[p].schema.names, *("_" + c for c in blocks[q].schema.names)])
+                got += [r for b in pair_blocks.similar(iter([both]), floor) for r in zip(*(c.to_pylist() for c in b.columns))]
+        s = np.round(n @ n.T, 4)
+        want = [(a, b) for a in range(600) for b in range(a + 1, 600) if s[a, b] >= floor and not (files[a] == files[b] and b <= a + 3)]
+        assert sorted((a, b) for a, b, _ in got) == want
+        assert all(abs(s[a, b] - c) < 2e-4 for a, b, c in got)
+
+
+def test_similar_pairs_round_before_the_floor_and_copy_no_rows(spark):
+    c = 0.79997
+    v = spark.createDataFrame([(1, [1.0, 0.0], "a", 1, 2, 1), (2, [c, (1 - c * c) ** 0.5], "b", 1, 2, 1), (3, [0.0, -1.0], "c", 1, 2, 1), (4, None, "d", 1, 2, 1)], VECTORS)
+    got = clones.similar_pairs(v, 0.8)
+    assert rows(got) == [(1, 2, 0.8)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert clones.similar_pairs(v.limit(0)).count() == 0
