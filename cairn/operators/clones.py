@@ -77,8 +77,11 @@ def similar_pairs(vectors: DataFrame, floor: float = K.PAIR_FLOOR, block: int =
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, component): least id of everything linked, by spreading the least name with pointer jumps."""
-    links = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    """(node, component): least id of everything linked, by spreading the least name with pointer jumps.
+
+    Each task first drops the links that its others make needless, so that rounds shuffle about a link a node."""
+    tree = pairs.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).mapInArrow(pair_blocks.forest, "u bigint, v bigint")
+    links = cut(tree.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("l")).select("l.u", "l.v").distinct())
     label = cut(links.select(F.col("u").alias("node")).distinct().withColumn("c", F.col("node")))
     while True:
         near = links.join(label, links["v"] == label["node"]).groupBy(F.col("u").alias("node")).agg(F.min("c").alias("m"))

@@ -171,3 +171,27 @@ def similar(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Reco
                         out, waiting = [], 0
     if out:
         yield flush()
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): links that hold together what the links (a, b) of a task do, one less than it has nodes at most.
+
+    Beyond two million nodes it begins anew, with some links more than needed."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for b in batches:
+        if len(up) > 2_000_000:
+            up.clear()
+        links = []
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                links.append((min(x, y), max(x, y)))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], ["u", "v"])

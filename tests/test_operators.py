@@ -564,3 +564,12 @@ def test_similar_pairs_round_before_the_floor_and_copy_no_rows(spark):
     assert rows(got) == [(1, 2, 0.8)]
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert clones.similar_pairs(v.limit(0)).count() == 0
+
+
+def test_components_of_a_clique_need_a_link_a_node(spark):
+    links = [(a, b) for k in (0, 100) for a in range(k, k + 60) for b in range(a + 1, k + 60)] + [(59, 70), (70, 71)]
+    pairs = spark.createDataFrame(links, "a bigint, b bigint").coalesce(2)
+    got = {r.node: r.component for r in clones.components(pairs).collect()}
+    assert got == {k: 0 for k in [*range(60), 70, 71]} | {k: 100 for k in range(100, 160)}
+    tree = pairs.coalesce(1).mapInArrow(pair_blocks.forest, "u bigint, v bigint").collect()
+    assert len(tree) == 61 + 59
